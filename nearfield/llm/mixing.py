@@ -6,8 +6,8 @@ once more with the fractional probability; the cube method fixes those draws:
 it moves the vector of probabilities through the null space of the balancing
 constraints (tokens and documents of the source) until at most as many
 fractions remain as there are constraints. Blocks of documents fly in
-parallel; what they leave over flies again in ever fewer blocks, and the last
-few fractions are landed by one seeded draw.
+parallel; what they leave over flies again in ever fewer blocks. The last few
+fractions, with a few documents held back, land where the tokens come nearest.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import key_frame, stored
 
 WEIGHTS = (3, 1, 2)
-BLOCK = 4096
+BLOCK, SPARE = 4096, 64
 _NEAR = 1e-9
 
 
@@ -82,17 +82,26 @@ def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Landing: the few fractions that remain become the 0/1 design whose sizes and count come nearest, ties by draw."""
+def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Landing: the 0/1 design of the last fractions whose sizes come nearest to what they stand for.
+
+    The largest two are tried all ways; the others, from the largest down, are
+    taken while that brings the sum nearer.
+    """
     p = prob.copy()
     rest = np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))
-    if len(rest):
-        best = None
-        for code in range(1 << len(rest)):
-            pick = np.array([(code >> i) & 1 for i in range(len(rest))], float)
-            cost = (abs(float((size[rest] * (pick - p[rest])).sum())), float(rng.random()))
-            if best is None or cost < best[0]:
-                best = (cost, pick)
+    rest = rest[np.argsort(-size[rest], kind="stable")]
+    goal = float((size[rest] * p[rest]).sum())
+    best: tuple[float, np.ndarray] | None = None
+    for code in range(1 << min(2, len(rest))):
+        pick, left = np.zeros(len(rest)), goal
+        for i, s in enumerate(size[rest].tolist()):
+            if (code >> i & 1) if i < 2 else left >= s / 2:
+                pick[i] = 1
+                left -= s
+        if best is None or abs(left) < best[0]:
+            best = abs(left), pick
+    if best is not None:
         p[rest] = best[1]
     return np.round(p)
 
@@ -107,8 +116,13 @@ def _flight(seed: int, level: int, last: bool):
     def flight(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "size"], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(_seed(seed, level, pdf["s"].iloc[0], pdf["block"].iloc[0]))
-        p = fly(pdf["p"].to_numpy(), pdf["size"].to_numpy(), rng)
-        pdf["p"] = land(p, pdf["size"].to_numpy(float), rng) if last else p
+        p, size = pdf["p"].to_numpy().copy(), pdf["size"].to_numpy(float)
+        # a few of the first block's documents do not fly: the landing closes the last gap with them
+        spare = np.zeros(len(p), bool)
+        if pdf["block"].iloc[0] == 0:
+            spare[np.argsort(pdf["order"].to_numpy(), kind="stable")[: min(SPARE, max(2, len(p) // 8))]] = True
+        p[~spare] = fly(p[~spare], size[~spare], rng)
+        pdf["p"] = land(p, size) if last else p
         return pdf[["k", "s", "size", "p", "source_size", "target", "sure", "blocks", "order"]]
 
     return flight
