@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -161,28 +162,40 @@ class PairTable:
 
 
 class WordStore:
-    """Ids of words that came before, so that each distinct word is encoded once; emptied when it holds `most` words."""
+    """Ids of words that came before, so that each distinct word is encoded once.
 
-    def __init__(self, most: int = 1_000_000):
-        self.most = most
-        self.empty()
+    When it holds over `most` words, those that came in one call only leave.
+    """
 
-    def empty(self) -> None:
+    def __init__(self, most: int = 700_000):
+        self.most = most
         self.words: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.calls = np.zeros(0, np.int32)
+
+    def _thin(self) -> None:
+        keep = np.flatnonzero(self.calls > 1)
+        if 2 * len(keep) > self.most:
+            keep = np.zeros(0, np.int64)
+        names = list(self.words)
+        self.words = {names[i]: n for n, i in enumerate(keep.tolist())}
+        sizes = np.diff(self.starts)[keep]
+        self.flat = self.flat[ranges(self.starts[keep], sizes)]
+        self.starts = np.concatenate(([0], np.cumsum(sizes)))
+        self.calls = np.ones(len(keep), np.int32)
 
     def gather(self, pieces: list[str], index: np.ndarray, counts: np.ndarray, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of texts made of pieces[index], counts[i] of them in the i-th, and where each text's begin."""
         if len(self.words) > self.most:
-            self.empty()
+            self._thin()
         known, before = self.words, len(self.words)
-        at = np.fromiter((known.setdefault(w, len(known)) for w in pieces), np.int64, len(pieces))
+        at = np.fromiter([known.setdefault(w, len(known)) for w in pieces], np.int64, len(pieces))
         if len(known) > before:
-            fresh = [w for w, i in zip(pieces, at.tolist()) if i >= before]
-            fresh = list(dict.fromkeys(fresh))
-            flat, starts = encode(fresh)
+            flat, starts = encode(list(islice(known, before, None)))  # a dict keeps the order of insertion
             self.starts = np.concatenate((self.starts, starts[1:] + len(self.flat)))
             self.flat = np.concatenate((self.flat, flat))
+            self.calls = np.concatenate((self.calls, np.zeros(len(known) - before, np.int32)))
+        self.calls[at] += 1
         at = at[index]
         first = self.starts[at]
         sizes = self.starts[at + 1] - first

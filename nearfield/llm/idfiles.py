@@ -11,21 +11,22 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import SLICE_CHARS, WordStore, buckets_for, joined_index, key_frame, split_at_spaces, stored, text_list
+from .common import WordStore, buckets_for, joined_index, key_frame, ranges, split_at_spaces, stored, text_list
 
 BLOCK_IDS = 1 << 22
+SLICE = 12 << 20
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.int64)  # control byte -> four lengths
-_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # white space but for space, tab and line ends
-_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")  # a space beside other white space
+#: Texts with a space at an end or beside white space, with rare white space, or empty.
+_ODD = "^$|^ | $|  | [\\n\\t\\r]|[\\n\\t\\r] |[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -87,27 +88,30 @@ class WordCachedTokenizer:
         Words with a space before and none inside are encoded 500 at a time as
         one text: each of them begins with the only id that begins with a space.
         """
-        simple = [len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() and w.count(" ") == 1 for w in words]
-        ids: list[list[int]] = [[]] * len(words)
-        alone = [i for i, s in enumerate(simple) if not s]
-        joint = [i for i, s in enumerate(simple) if s]
+        simple = np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() and w.count(" ") == 1 for w in words], bool)
+        joint, alone = np.flatnonzero(simple), [np.flatnonzero(~simple)]
+        order, ids, sizes = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         groups = [joint[i : i + 500] for i in range(0, len(joint), 500)]
-        for group, e in zip(groups, self.library.encode_batch_fast(["".join(words[i] for i in g) for g in groups], add_special_tokens=False)):
-            all_ids = e.ids
-            cuts = np.flatnonzero(self.spaced[all_ids]).tolist()
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join([words[i] for i in g.tolist()]) for g in groups], add_special_tokens=False)):
+            found = np.array(e.ids, np.int32)
+            cuts = np.flatnonzero(self.spaced[found])
             if len(cuts) == len(group):
-                for i, a, b in zip(group, cuts, cuts[1:] + [len(all_ids)]):
-                    ids[i] = all_ids[a:b]
+                order.append(group), ids.append(found), sizes.append(np.diff(np.append(cuts, len(found))))
             else:
-                alone += group
-        for i, e in zip(alone, self.library.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
-            ids[i] = e.ids
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), np.concatenate(([0], np.cumsum(sizes)))
+                alone.append(group)
+        for i in np.concatenate(alone).tolist():
+            found = np.array(self.library.encode(words[i], add_special_tokens=False).ids, np.int32)
+            order.append(np.array([i])), ids.append(found), sizes.append(np.array([len(found)]))
+        size, flat = np.zeros(len(words), np.int64), np.concatenate(ids)
+        got, at = np.concatenate(sizes), np.zeros(len(words), np.int64)
+        if order:
+            place = np.concatenate(order)
+            size[place], at[place] = got, np.cumsum(got) - got
+        return flat[ranges(at, size)], np.concatenate(([0], np.cumsum(size)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and where each text's begin (one more than texts)."""
-        plain = np.array([bool(t) and t[0] != " " and t[-1] != " " and not any(x in t for x in _BESIDE) and not _RARE.search(t) for t in texts], bool)
+        plain = ~pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
         groups = []
         regular = np.flatnonzero(plain)
         if len(regular):
@@ -165,7 +169,7 @@ def write_ids(df: DataFrame, encode: Callable[[list[str]], tuple[np.ndarray, np.
             at = 0
             while at < len(texts):
                 to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= 4 * SLICE_CHARS):
+                while to < len(texts) and (to == at or chars + len(texts[to]) <= SLICE):
                     chars += len(texts[to])
                     to += 1
                 flat, starts = encode(texts[at:to])

@@ -8,28 +8,39 @@ excluded below (method D: a symbol seen c times of n has (2c - 1) / 2n, the
 escape d / 2n for d distinct symbols). So each run of `order` + 1 symbols has
 one probability, and a text's score is a sum over its runs.
 
-Nothing of the trie is gathered in one place. Texts are dealt to buckets;
-a bucket counts its distinct runs, runs are summed over all buckets, the trie
-is laid out by its two nearest bytes, each run is coded once, and every bucket
-gets back just the runs it holds. Symbols are the 256 bytes, an end (256), and
-a start that only contexts have (257).
+Nothing of the trie is gathered in one place. A bucket of consecutive texts
+counts its distinct runs and cuts them into cells by a hash of the three
+nearest bytes. All buckets' cells of one number meet: there the counts are
+summed, that part of the trie is laid out, each run is coded once, and every
+cell goes back to its bucket with probabilities in place of counts. Only the
+orders below three, a table of bounded size, are shared by all. Symbols are the
+256 bytes, an end (256), and a start that only contexts have (257).
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, PairTable, buckets_for, held_out, key_frame, stored
+from .common import SLICE_CHARS, PairTable, held_out, key_frame, stored
 
 ORDER = 5
 END, START = 256, 257
 BITS, MASK = 9, 511
+#: Orders 0 to SHARED - 1 are shared: at most 258 * 258 * 257 counts of order 2, far fewer in texts.
+SHARED = 3
+CELLS = 1024
+BUCKET_BYTES = 48 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def runs(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +101,20 @@ class Level:
         return np.where(self.contexts[at] == contexts, at, -1)
 
 
-def short_levels(pairs: np.ndarray, counts: np.ndarray) -> list[Level]:
-    """Orders 0 and 1 from the (nearest byte, symbol) counts."""
-    keys, one = _uniq(pairs, counts)
-    zero = _uniq(keys & MASK)
-    return [Level(*zero), Level(keys, one)]
+def short_levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """Orders 0, 1 and 2 from the (two nearest bytes, symbol) counts."""
+    at = np.argsort(keys)
+    levels = [Level(keys[at], counts[at])]
+    for _ in range(SHARED - 1):
+        levels.insert(0, Level(*_uniq(_lower(levels[0].keys))))
+    return levels
 
 
 def code(keys: np.ndarray, counts: np.ndarray, short: list[Level], order: int = ORDER) -> np.ndarray:
     """log10 probability of each distinct run; counts are its uses in training (0 for a run to be coded only).
 
-    All runs whose contexts share their two nearest bytes must be there; short
-    has orders 0 and 1 of the whole corpus.
+    All runs whose contexts share their three nearest bytes must be there; short
+    has the orders below three of the whole corpus.
     """
     seen = counts > 0
     levels: list[Level | None] = [None] * (order + 1)
@@ -109,10 +122,10 @@ def code(keys: np.ndarray, counts: np.ndarray, short: list[Level], order: int =
     at = np.argsort(top)
     top, count = top[at], count[at]
     levels[order] = Level(top, count)
-    for j in range(order - 1, 1, -1):
+    for j in range(order - 1, SHARED - 1, -1):
         top, count = _uniq(_lower(top))
         levels[j] = Level(top, count)
-    levels[0], levels[1] = short
+    levels[:SHARED] = short
     log = np.zeros(len(keys))
     todo = np.arange(len(keys))
     query = keys
@@ -146,15 +159,6 @@ def code(keys: np.ndarray, counts: np.ndarray, short: list[Level], order: int =
     return log
 
 
-def _bucketed(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    return key_frame(df, key, text).select(
-        F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(buckets)).cast("int").alias("bucket"),
-        F.col(key).alias("k"),
-        held_out(key, 7, 2).alias("held_out"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"),
-    )
-
-
 def _pieces(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     """runs() of consecutive texts, about SLICE_CHARS bytes at a time, with the first and last text."""
     a = size = 0
@@ -165,6 +169,76 @@ def _pieces(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.nda
             a, size = i + 1, 0
 
 
+def _cells(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted runs by cell (then run), and where each cell begins (one more than CELLS)."""
+    near = (keys >> (BITS * (order - SHARED + 1))).astype(np.uint64)
+    cell = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    at = np.argsort(cell, kind="stable")
+    return at, np.searchsorted(cell[at], np.arange(CELLS + 1))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Non-negative int64 as byte planes, high bytes first, so that zeros stand together."""
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.int64)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0))
+
+
+def _found(texts: list[bytes], order: int) -> np.ndarray:
+    """Sorted distinct runs of texts."""
+    parts = [np.unique(keys) for keys, _, _, _ in _pieces(texts, order)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+
+class _Bucket:
+    """Consecutive texts of one task: their runs and words with uses in training, and the texts themselves, compressed."""
+
+    def __init__(self, number: int, order: int):
+        self.number, self.order = number, order
+        self.runs, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.taught, self.words = Counter(), Counter()
+        self.ends = self.size = 0
+
+    def add(self, texts: list[bytes], skip: list[bool]) -> None:
+        for s in (False, True):
+            own = [t for t, k in zip(texts, skip) if k is s]
+            for t in own:
+                (self.words if s else self.taught).update(t.split())
+            for keys, _, _, _ in _pieces(own, self.order):
+                new, n = np.unique(keys, return_counts=True)
+                self.runs, self.uses = _uniq(np.concatenate((self.runs, new)), np.concatenate((self.uses, 0 * n if s else n)))
+        self.ends += skip.count(False)
+        self.size += sum(map(len, texts))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        at, first = _cells(self.runs, self.order)
+        runs, uses = self.runs[at], self.uses[at]
+        cells = [c for c in range(CELLS) if first[c] < first[c + 1]]
+        yield _rows(self.number, cell=cells, runs=[_steps(runs[first[c] : first[c + 1]]) for c in cells], uses=[_pack(uses[first[c] : first[c + 1]]) for c in cells])
+        for w in self.words:
+            self.taught.setdefault(w, 0)
+        # no word is empty: it stands for the end of a text
+        names, numbers = [b"", *self.taught], [self.ends, *self.taught.values()]
+        for a in range(0, len(names), 1 << 18):
+            yield _rows(self.number, word=names[a : a + (1 << 18)], n=numbers[a : a + (1 << 18)])
+
+
+_COLUMNS = (("cell", pa.int32()), ("runs", pa.binary()), ("uses", pa.binary()), ("word", pa.binary()), ("n", pa.int64()), ("texts", pa.binary()))
+
+
+def _rows(bucket: int, **columns) -> pa.RecordBatch:
+    """Rows of one bucket; columns that are not given are null."""
+    size = len(next(iter(columns.values())))
+    arrays = [pa.array(np.full(size, bucket, np.int64)), *(pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in _COLUMNS)]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", *(c for c, _ in _COLUMNS)])
+
+
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes for every row.
 
@@ -173,127 +247,116 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
     scored; an empty table gives an empty result; extra columns are not read.
     Without training texts the base score is 0 and every symbol has even odds.
     """
-    if not 2 <= order <= 6:
-        raise ValueError("order must be 2 to 6")
-    docs = _bucketed(df, key, text, buckets_for(df, 16))
+    if not SHARED <= order <= 6:
+        raise ValueError(f"order must be {SHARED} to 6")
+    docs = key_frame(df, key, text).select(F.col(key).alias("k"), held_out(key, 7, 2).alias("held_out"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     kind = docs.schema["k"].dataType.simpleString()
 
-    def count(groups: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What a bucket holds: (bucket, run, word, uses in training)."""
-        held: list[pa.RecordBatch] = []
-
-        def out(bucket: int) -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
-            taught: Counter = Counter()
-            found, uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            ends = 0
-            for batch in held:
-                texts = [t.lower() for t in batch.column(3).to_pylist()]
-                skip = np.array(batch.column(2).to_pylist(), bool)
-                for t, s in zip(texts, skip.tolist()):
-                    (words if s else taught).update(t.split())
-                ends += int((~skip).sum())
-                for s in (False, True):
-                    own = [t for t, k in zip(texts, skip.tolist()) if k is s]
-                    for keys, _, _, _ in _pieces(own, order):
-                        new, n = np.unique(keys, return_counts=True)
-                        found, uses = _uniq(np.concatenate((found, new)), np.concatenate((uses, 0 * n if s else n)))
-            for w in words:
-                taught.setdefault(w, 0)
-            names = list(taught)
-            # the end of a text is a token that no word equals: null
-            for a in range(0, len(found), 1 << 18):
-                part = found[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), pa.array(part), pa.nulls(len(part), pa.binary()), pa.array(uses[a : a + len(part)])], ["bucket", "run", "word", "n"])
-            for a in range(0, len(names) + 1, 1 << 18):
-                part = names[a : a + (1 << 18)]
-                number = [taught[w] for w in part]
-                if a == 0:
-                    part, number = [b""] + part, [ends] + number  # no word is empty: it stands for the end
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), bucket, np.int32)), pa.nulls(len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(number, pa.int64())], ["bucket", "run", "word", "n"])
-
-        for batch in groups:
-            at = batch.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-                if held and held[0].column(0)[0].as_py() != int(at[a]):
-                    yield from out(held[0].column(0)[0].as_py())
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from out(held[0].column(0)[0].as_py())
-
-    spread = docs.repartition("bucket").sortWithinPartitions("bucket")
-    counts = stored(spread.mapInArrow(count, "bucket int, run long, word binary, n long"), "counts")
-
-    held_runs = counts.where(F.col("run").isNotNull()).select("bucket", "run", "n")
-    held_words = counts.where(F.col("word").isNotNull()).select("bucket", "word", "n")
-    all_runs = stored(held_runs.groupBy("run").agg(F.sum("n").alias("n")), "runs")
-    words = held_words.groupBy("word").agg(F.sum("n").alias("n"))
-    tokens, kinds = (int(x or 0) for x in words.where("n > 0").agg(F.sum("n"), F.count("*")).first())
-
-    # orders 0 and 1: at most 258 x 257 rows
-    nearest = F.shiftright("run", BITS * order)
-    second = F.shiftright("run", BITS * (order - 1)).bitwiseAND(F.lit(MASK))
-    symbol = F.col("run").bitwiseAND(F.lit(MASK))
-    pairs = all_runs.where("n > 0").select(nearest.alias("c"), second.alias("b"), symbol.alias("s")).distinct().groupBy("c", "s").agg(F.count("*").alias("n")).collect()
-    short = short_levels(np.array([(r[0] << BITS) | r[1] for r in pairs], np.int64), np.array([r[2] for r in pairs], np.int64))
-
-    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = BITS * (order - 1)
-        held: list[pa.RecordBatch] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                keys = np.concatenate([b.column(0).to_numpy() for b in held])
-                n = np.concatenate([b.column(1).to_numpy() for b in held])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(code(keys, n, short, order))], ["run", "log"])
-
-        for batch in batches:  # sorted by run; parts whose contexts share the two nearest bytes are coded together
-            near = batch.column(0).to_numpy() >> shift
-            if held and (held[-1].column(0)[len(held[-1]) - 1].as_py() >> shift) == near[-1]:
-                held.append(batch)
-                continue
-            last = int(np.searchsorted(near, near[-1]))
-            held.append(batch.slice(0, last))
-            held = [b for b in held if b.num_rows]
-            yield from out()
-            held = [batch.slice(last)]
-        yield from out()
-
-    nodes = all_runs.repartition(nearest, second).sortWithinPartitions("run")
-    logs = nodes.mapInArrow(coded, "run long, log double")
-    to_runs = held_runs.select("bucket", "run").join(logs, "run").select("bucket", "run", "log", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"))
-    to_words = held_words.select("bucket", "word").join(words, "word").select("bucket", F.lit(None).cast("long").alias("run"), F.lit(None).cast("double").alias("log"), "word", "n")
-    answers = to_runs.unionByName(to_words)
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a bucket holds: its cells, its words, and its texts as compressed chunks."""
+        task, number = TaskContext.get().partitionId(), 0
+        bucket = _Bucket(task << 20, order)
+        for batch in batches:
+            raw = batch.column(2).to_pylist()
+            skip = batch.column(1).to_pylist()
+            a = size = 0
+            for i, t in enumerate(raw):
+                size += len(t)
+                if size < CHUNK_BYTES and i < len(raw) - 1:
+                    continue
+                sink = pa.BufferOutputStream()
+                part = batch.slice(a, i + 1 - a)
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                yield _rows(bucket.number, texts=[zstandard.compress(sink.getvalue(), 3)])
+                bucket.add([x.lower() for x in raw[a : i + 1]], skip[a : i + 1])
+                a, size = i + 1, 0
+                if bucket.size >= BUCKET_BYTES:
+                    yield from bucket.rows()
+                    number += 1
+                    bucket = _Bucket((task << 20) + number, order)
+        if bucket.size or bucket.ends or bucket.words or len(bucket.runs):
+            yield from bucket.rows()
+
+    held = stored(docs.mapInArrow(count, "bucket long, cell int, runs binary, uses binary, word binary, n long, texts binary"), "counts")
+    cells = held.where(F.col("cell").isNotNull()).select("bucket", "cell", "runs", "uses")
+    words = held.where(F.col("word").isNotNull()).select("bucket", "word", "n")
+    chunks = held.where(F.col("texts").isNotNull()).select("bucket", "texts")
+
+    def short_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct trained runs of order SHARED in each cell."""
+        for batch in batches:
+            for runs, uses in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys = np.cumsum(_unpack(runs))[_unpack(uses) > 0]
+                for _ in range(order - SHARED):
+                    keys = np.unique(_lower(keys))
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys)], ["run"])
+
+    # (two nearest bytes, symbol) with the number of third bytes that saw it: bounded by the alphabet
+    low = F.shiftleft(F.shiftright("run", 2 * BITS), BITS).bitwiseOR(F.col("run").bitwiseAND(F.lit(MASK)))
+    pairs = cells.select("runs", "uses").mapInArrow(short_runs, "run long").distinct().groupBy(low.alias("key")).agg(F.count("*").alias("n")).toArrow()
+    short = short_levels(pairs.column("key").to_numpy().astype(np.int64), pairs.column("n").to_numpy().astype(np.int64))
+    sent = df.sparkSession.sparkContext.broadcast([(x.keys, x.counts) for x in short])
+
+    def coded(group: pa.Table) -> pa.Table:
+        """One cell of all buckets: counts summed, runs coded, probabilities back to each bucket."""
+        own = [np.cumsum(_unpack(x)) for x in group.column("runs").to_pylist()]
+        keys, uses = _uniq(np.concatenate(own), np.concatenate([_unpack(x) for x in group.column("uses").to_pylist()]))
+        log = code(keys, uses, [Level(*x) for x in sent.value], order)
+        return pa.table([group.column("bucket"), group.column("cell"), pa.array([log[np.searchsorted(keys, x)].astype("<f8").tobytes() for x in own], pa.binary())], ["bucket", "cell", "logs"])
+
+    logs = cells.groupBy("cell").applyInArrow(coded, "bucket long, cell int, logs binary")
+
+    # a word's uses in all buckets; a bucket that alone has a word knows its count already
+    every = Window.partitionBy("word")  # a row for each bucket at most
+    summed = words.withColumn("total", F.sum("n").over(every)).withColumn("buckets", F.count("*").over(every))
+    first = F.row_number().over(Window.partitionBy("word").orderBy("bucket")) == 1
+    summed = stored(summed.withColumn("first", first).where(F.col("first") | (F.col("buckets") > 1)), "words")
+    tokens, kinds = (int(x or 0) for x in summed.where("first and total > 0").agg(F.sum("total"), F.count("*")).first())
+    shared = summed.where("buckets > 1")
     scale = tokens + 1 + kinds
 
-    def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        is_run = pc.is_valid(right.column("run"))
-        part = right.filter(is_run)
-        run, log = part.column("run").to_numpy(), part.column("log").to_numpy()
-        table, log = PairTable(run), np.append(log, np.nan)
-        part = right.filter(pc.invert(is_run))
-        number = dict(zip(part.column("word").to_pylist(), part.column("n").to_pylist()))
-        del right, part
-        points = {w: (float(np.log10((c + 1) / scale)), int(c > 0)) for w, c in number.items()}
-        texts = [t.lower() for t in left.column("t").to_pylist()]
-        base, known, n_tokens = [], [], []
+    empty = {"cell": "int", "logs": "binary", "word": "binary", "total": "long", "texts": "binary"}
+    wide = lambda d, *own: d.select("bucket", *(F.col(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
+    answers = wide(logs, "cell", "logs").unionByName(wide(shared, "word", "total")).unionByName(wide(chunks, "texts"))
+
+    def read(group: pa.Table) -> pa.Table:
+        """One bucket: its texts with the probabilities of their runs and the counts of their words."""
+        parts = [pa.ipc.open_stream(zstandard.decompress(x)).read_all() for x in group.column("texts").drop_null().to_pylist()]
+        table = pa.concat_tables(parts)
+        texts = [t.lower() for t in table.column("t").to_pylist()]
+        skip = table.column("held_out").to_pylist()
+        taught: Counter = Counter({b"": skip.count(False)})
+        for t, s in zip(texts, skip):
+            if not s:
+                taught.update(t.split())
+        known = group.filter(pc.is_valid(group.column("word")))
+        taught.update(dict.fromkeys(known.column("word").to_pylist(), 0))
+        number = dict(taught)
+        number.update(zip(known.column("word").to_pylist(), known.column("total").to_pylist()))
+        points = {w: (math.log10((c + 1) / scale), int(c > 0)) for w, c in number.items()}
+        unknown = (math.log10(1 / scale), 0)  # a held-out word of this bucket alone
+        runs = _found(texts, order)
+        at, first = _cells(runs, order)
+        log = np.zeros(len(runs))
+        cells_ = group.filter(pc.is_valid(group.column("cell")))
+        for c, x in zip(cells_.column("cell").to_pylist(), cells_.column("logs").to_pylist()):
+            log[at[first[c] : first[c + 1]]] = np.frombuffer(x, "<f8")
+        index = PairTable(runs)
+        base, hits, n_tokens = [], [], []
         for t in texts:
-            parts = t.split()
-            parts.append(b"")
-            found = [points[w] for w in parts]
-            n_tokens.append(len(parts))
-            base.append(sum(p for p, _ in found))
-            known.append(sum(k for _, k in found))
+            own = t.split()
+            own.append(b"")
+            found = [points.get(w, unknown) for w in own]
+            n_tokens.append(len(own))
+            base.append(math.fsum(p for p, _ in found))
+            hits.append(sum(k for _, k in found))
         scores = np.zeros(len(texts))
         for keys, sizes, a, b in _pieces(texts, order):
-            values = log[table.find(keys)]
-            scores[a:b] = np.add.reduceat(values, np.cumsum(sizes) - sizes)
-        columns = [left.column("k"), left.column("held_out"), *(pa.array(x, pa.int64()) for x in (n_tokens, known, [tokens] * len(texts))), pa.array(base, pa.float64()), pa.array(scores), pa.array([len(t) for t in texts], pa.int64())]
+            scores[a:b] = np.add.reduceat(log[index.find(keys)], np.cumsum(sizes) - sizes)
+        columns = [table.column("k"), table.column("held_out"), *(pa.array(x, pa.int64()) for x in (n_tokens, hits, [tokens] * len(texts))), pa.array(base, pa.float64()), pa.array(scores), pa.array(list(map(len, texts)), pa.int64())]
         return pa.table(columns, ["k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
-    out = docs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(read, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
+    out = answers.groupBy("bucket").applyInArrow(read, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
     return out.withColumnRenamed("k", key)
