@@ -26,7 +26,7 @@ class Graph:
         self.config = config
         order = np.argsort(ids, kind="stable")
         self.ids = np.asarray(ids, np.int64)[order]
-        self.x = np.asarray(vectors, np.float64).reshape(len(ids), -1)[order]
+        self.x = np.atleast_2d(np.asarray(vectors, np.float64))[order] if len(order) else np.zeros((0, 1))
         n = len(self.ids)
         self.near = np.full((n, config.r), NONE, np.int32)
         self.dist = np.full((n, config.r), np.inf)
@@ -171,30 +171,48 @@ class Graph:
         return self.repair()
 
     def repair(self) -> Graph:
-        """Joins nodes that the entry does not reach to their nearest reachable node, where there is room first."""
+        """Joins nodes that the entry does not reach to a near reachable node: in a free place, or for an edge that no path needs."""
         while len(self.ids):
-            reach = self.reachable()
-            lost = np.flatnonzero(~reach)
+            parent = self.paths()
+            lost = np.flatnonzero(parent == NONE)
             if not len(lost):
                 break
-            row = int(lost[0])
-            inside = np.flatnonzero(reach & (self.count < self.config.r))
-            if not len(inside):
-                inside = np.flatnonzero(reach)
+            row, inside = int(lost[0]), np.flatnonzero(parent != NONE)
             d = self.measure(self.unit[row], inside)
-            at = int(np.lexsort((inside, d))[0])
-            self._force(int(inside[at]), row, float(d[at]))
+            for at in np.lexsort((inside, d)).tolist():
+                node = int(inside[at])
+                c = int(self.count[node])
+                spare = [j for j in range(c) if parent[self.near[node, j]] != node]
+                if c < self.config.r:
+                    self.count[node] = c + 1
+                elif spare:
+                    c = max(spare, key=lambda j: (self.dist[node, j], j))
+                else:
+                    continue
+                self.near[node, c], self.dist[node, c] = row, d[at]
+                break
+            else:  # one edge a node and all of them needed: the last of the chain has none to spare
+                break
         return self
 
+    def paths(self) -> np.ndarray:
+        """Each node's predecessor on a shortest path from the entry (the entry's is itself), NONE out of reach."""
+        parent = np.full(len(self.ids), NONE, np.int64)
+        front = [self.entry] if len(self.ids) else []
+        if front:
+            parent[self.entry] = self.entry
+        while front:
+            after = []
+            for node in front:
+                for other in self.near[node, : self.count[node]].tolist():
+                    if parent[other] == NONE:
+                        parent[other] = node
+                        after.append(other)
+            front = after
+        return parent
+
     def reachable(self) -> np.ndarray:
-        seen = np.zeros(len(self.ids), bool)
-        front = np.array([self.entry] if len(self.ids) else [], np.int64)
-        while len(front):
-            seen[front] = True
-            nxt = np.unique(self.near[front])
-            nxt = nxt[nxt >= 0]
-            front = nxt[~seen[nxt]]
-        return seen
+        return self.paths() != NONE
 
     def faults(self) -> dict[str, int]:
         """Broken invariants: too many edges, edges to oneself, repeated, dangling, nodes out of reach."""

@@ -98,15 +98,14 @@ class VectorIndex:
         store = Store(spark, path)
         if store.exists("current.json"):
             raise ValueError(f"there is an index at {path}")
+        element = element_type(df, col)
         rows = df.where(F.col(col).isNotNull()).select(F.col(id_col).cast("long").alias("node_id"), F.col(col).cast("array<float>").alias("vector"))
         count, least, most = rows.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
         if count and least != most:
             raise ValueError("vectors of different dimensions")
         config = IndexConfig.from_options(options)
         if count:
-            config = config.bound(int(most), element_type(df, col))
-        else:
-            element_type(df, col)
+            config = config.bound(int(most), element)
         shards = max(1, -(-count // config.shard_rows))
         meta = {"name": name, "table": table, "id": id_col, "column": col, "config": config.to_dict(), "shards": shards, "version": 1, "deltas": [], "tombstones": [], "created": time.time()}
         store.write("nodes-1", cls._built(rows, config, shards))
