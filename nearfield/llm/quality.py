@@ -108,7 +108,7 @@ class ByteNet:
     def train(self, texts: list[bytes], marks: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 9) -> ByteNet:
         """Adam on the log loss, classes weighted to equal halves; the largest responses alone carry gradients."""
         rng = np.random.default_rng(seed)
-        share = marks.mean()
+        share = marks.mean() if len(marks) else 0.0
         if not len(marks) or share in (0.0, 1.0):
             self.weight[:] = 0
             self.offset = 0.0 if not len(marks) else (6.0 if share == 1.0 else -6.0)
