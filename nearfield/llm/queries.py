@@ -116,6 +116,27 @@ SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM split s LEFT JOIN fit f ON f.page_id = s.page_id AND f.place = 1
 """
 
+# the table of the reversed CRC-32 polynomial 0xEDB88320, a fold over each text's bytes, then prefix sums
+OP7_SQL = """
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+body AS (SELECT doc_id, hex(coalesce(text, '')) AS digits FROM documents),
+sized AS (
+  SELECT b.doc_id, length(b.digits) // 2 + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(b.digits), 2), lambda i: ('0x' || substr(b.digits, i, 2))::BIGINT)),
+        lambda c, x: xor(c >> 8, t.entries[xor(c, x) % 256 + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM body b, crc_table t),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total
+  FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size)),
+sharded AS (SELECT *, least(7, (2 * before + size) * 8 // (2 * total))::INTEGER AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (place - min(place) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM sharded
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_pieces": op1_pieces,
@@ -133,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": OP4_SQL}
+    return {"op4_urls": OP4_SQL, "op7_shards": OP7_SQL}
