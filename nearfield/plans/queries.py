@@ -359,7 +359,7 @@ def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, metric: str = "cosine", **options) -> VectorIndex:
-    return VectorIndex.create(embeddings(spark, sf_dir), "embedding", index_path(spark), options={"METRIC": metric, "R": 32, "L_INSERT": 70, **options}, name="vectors", table="embeddings")
+    return VectorIndex.create(embeddings(spark, sf_dir), "embedding", index_path(spark), options={"METRIC": metric, "R": 32, "L_INSERT": 70, "SHARD_ROWS": 512, **options}, name="vectors", table="embeddings")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
