@@ -167,7 +167,7 @@ class WordStore:
     When it holds over `most` words, those that came in one call only leave.
     """
 
-    def __init__(self, most: int = 700_000):
+    def __init__(self, most: int = 350_000):
         self.most = most
         self.words: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)

@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from .common import WordStore, buckets_for, joined_index, key_frame, ranges, split_at_spaces, stored, text_list
 
 BLOCK_IDS = 1 << 22
-SLICE = 12 << 20
+SLICE = 6 << 20
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.int64)  # control byte -> four lengths
 #: Texts with a space at an end or beside white space, with rare white space, or empty.
 _ODD = "^$|^ | $|  | [\\n\\t\\r]|[\\n\\t\\r] |[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
