@@ -27,6 +27,7 @@ from .common import bytes_list, key_frame, map_batches, stored
 
 SEED = 42
 TILE = 1024
+FOREST_LINKS = 1 << 18
 BANDS, BAND_ROWS = 16, 4
 _rng = np.random.default_rng(20240229)
 _LANES = _rng.integers(0, 2**63, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -255,11 +256,35 @@ def candidate_links(reps: DataFrame, radius: int, lanes: int, sketch: bool, tile
         "fp",
     )
     # a tile with itself (m = -1 throughout) and with each other tile (m tells the two sides apart)
-    spread = dealt.repartition("g", "t", "u").sortWithinPartitions("g", "t", "u")
+    spread = dealt.repartition("g", "t", "u").sortWithinPartitions("g", "t", "u", "k")  # so that a tree is named by its least key
     kind = reps.schema["k"].dataType.simpleString()
     return spread.mapInArrow(_compare(radius, lanes), f"a {kind}, b {kind}")
 
 
+def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) to a spanning forest of each FOREST_LINKS of them, by local union; trees are named by their least id."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            table = pa.Table.from_batches(held)
+            both = pa.chunked_array(table.column("a").chunks + table.column("b").chunks).combine_chunks()
+            names, place = np.unique(np.array(both.to_pylist()), return_inverse=True)
+            parent, n = np.arange(len(names)), table.num_rows
+            _hook(parent, place[:n], place[n:])
+            child = np.flatnonzero(parent != np.arange(len(names)))
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(names[parent[child]], both.type), pa.array(names[child], both.type)], ["a", "b"])
+        held.clear()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= FOREST_LINKS:
+            yield from out()
+    yield from out()
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (its least reachable id) for every id in links (a, b), by alternating large- and small-star steps.
 
@@ -267,7 +292,9 @@ def components(links: DataFrame) -> DataFrame:
     of the longest chain. Nothing but a count and a checksum comes to the driver.
     """
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    edges = stored(links.where(F.col("a") != F.col("b")).select(low, high).distinct(), "links")
+    given = links.where(F.col("a") != F.col("b")).select(low, high)
+    kind = given.schema["a"].dataType.simpleString()
+    edges = stored(given.repartition("b").mapInArrow(_forests, f"a {kind}, b {kind}"), "links")
     sign = None
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
