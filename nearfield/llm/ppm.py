@@ -39,7 +39,7 @@ BITS, MASK = 9, 511
 #: Orders 0 to SHARED - 1 are shared: at most 258 * 258 * 257 counts of order 2, far fewer in texts.
 SHARED = 3
 CELLS = 1024
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 14 << 20
 CHUNK_BYTES = 1 << 20
 
 
@@ -326,32 +326,37 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = O
         parts = [pa.ipc.open_stream(zstandard.decompress(x)).read_all() for x in group.column("texts").drop_null().to_pylist()]
         table = pa.concat_tables(parts)
         texts = [t.lower() for t in table.column("t").to_pylist()]
-        skip = table.column("held_out").to_pylist()
-        taught: Counter = Counter({b"": skip.count(False)})
-        for t, s in zip(texts, skip):
+        table = table.select(["k", "held_out"])
+        del parts
+        # each word's count in all training texts, and then its probability
+        number = {b"": 0}
+        for t, s in zip(texts, table.column("held_out").to_pylist()):
             if not s:
-                taught.update(t.split())
-        known = group.filter(pc.is_valid(group.column("word")))
-        taught.update(dict.fromkeys(known.column("word").to_pylist(), 0))
-        number = dict(taught)
-        number.update(zip(known.column("word").to_pylist(), known.column("total").to_pylist()))
-        points = {w: (math.log10((c + 1) / scale), int(c > 0)) for w, c in number.items()}
-        unknown = (math.log10(1 / scale), 0)  # a held-out word of this bucket alone
+                for w in t.split():
+                    number[w] = number.get(w, 0) + 1
+                number[b""] += 1
+        own = group.select(["word", "total"]).filter(pc.is_valid(group.column("word")))
+        number.update(zip(own.column("word").to_pylist(), own.column("total").to_pylist()))
+        for w, c in number.items():
+            number[w] = math.log10((c + 1) / scale)
+        unseen = math.log10(1 / scale)  # also a held-out word that no other bucket has
+        base, hits, n_tokens = [], [], []
+        for t in texts:
+            found = [number.get(w, unseen) for w in t.split()]
+            found.append(number[b""])
+            n_tokens.append(len(found))
+            base.append(math.fsum(found))
+            hits.append(len(found) - found.count(unseen))
+        del number, own
         runs = _found(texts, order)
         at, first = _cells(runs, order)
         log = np.zeros(len(runs))
-        cells_ = group.filter(pc.is_valid(group.column("cell")))
-        for c, x in zip(cells_.column("cell").to_pylist(), cells_.column("logs").to_pylist()):
-            log[at[first[c] : first[c + 1]]] = np.frombuffer(x, "<f8")
+        own = group.select(["cell", "logs"]).filter(pc.is_valid(group.column("cell")))
+        del group
+        for c, x in zip(own.column("cell").to_pylist(), own.column("logs")):
+            log[at[first[c] : first[c + 1]]] = np.frombuffer(x.as_buffer(), "<f8")
         index = PairTable(runs)
-        base, hits, n_tokens = [], [], []
-        for t in texts:
-            own = t.split()
-            own.append(b"")
-            found = [points.get(w, unknown) for w in own]
-            n_tokens.append(len(own))
-            base.append(math.fsum(p for p, _ in found))
-            hits.append(sum(k for _, k in found))
+        del own, at, runs
         scores = np.zeros(len(texts))
         for keys, sizes, a, b in _pieces(texts, order):
             scores[a:b] = np.add.reduceat(log[index.find(keys)], np.cumsum(sizes) - sizes)
