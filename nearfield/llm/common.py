@@ -10,6 +10,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,6 +105,39 @@ def map_batches(df: DataFrame, schema: T.StructType | str, per_batch: Callable[[
     return df.mapInArrow(run, schema)
 
 
+def may_be_among(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is in wanted's column of that name, and up to an eighth of the others; df is not shuffled.
+
+    Keys are looked up in a bitmap of their hashes, of 8 to 16 bits a key.
+    """
+    bits = max(1 << 16, 1 << (8 * max(wanted.count(), 1) - 1).bit_length())
+    place = F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for p in np.unique(at >> 16).tolist():
+                parts.setdefault(p, np.zeros(1 << 16, bool))[at[at >> 16 == p] & 0xFFFF] = True
+        for p, hit in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(hit, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    bitmap = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for row in wanted.select(place.alias("place")).repartition(F.shiftright("place", 16)).mapInArrow(marked, "part long, bits binary").toLocalIterator():
+        bitmap[row["part"]] |= np.frombuffer(row["bits"], np.uint8)
+    name = put_file(df.sparkSession, "keys", bitmap.tobytes())
+    width = len(df.columns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.memmap(SparkFiles.get(name), np.uint8, "r")
+        for batch in batches:
+            at = batch.column(width).to_numpy()
+            kept = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            yield kept.select(list(range(width)))
+
+    return df.withColumn("__place", place).mapInArrow(run, df.schema)
+
+
 def held_out(key: str, folds: int, fold: int):
     """crc32 of the key as text, modulo folds, equals fold; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold

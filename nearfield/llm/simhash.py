@@ -10,12 +10,14 @@ of a spanning forest, not its pairs; connected components join the forests.
 Two kinds of keys: `blocks` cut the fingerprint into radius + 1 blocks of bits,
 one of which must agree (exact for every pair within the radius); `sketch` uses
 bands of minimum hashes of the shingles, for wide fingerprints whose radius is
-too large for blocks.
+too large for blocks. With `sketch` the radius only forms clusters: inside each
+the documents are linked by the exact Jaccard similarity of their shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, key_frame, map_batches, stored
+from .common import bytes_list, key_frame, map_batches, may_be_among, ranges, segment_starts, stored
 
 SEED = 42
 TILE = 1024
 FOREST_LINKS = 1 << 18
 BANDS, BAND_ROWS = 16, 4
+#: Most rows and bytes of text in a tile of documents whose shingle sets are compared.
+SET_ROWS, SET_BYTES = 256, 8 << 20
+#: Most entries of the inverted index that one step counts.
+POSTINGS = 1 << 20
 _rng = np.random.default_rng(20240229)
 _LANES = _rng.integers(0, 2**63, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, 2**63, 64, dtype=np.int64).astype(np.uint64)
@@ -73,7 +79,6 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.nd
     """One key for each band of minimum hashes; texts without shingles share one key of their own."""
     if not len(h):
         return np.arange(bands, dtype=np.int64)
-    h = np.unique(h)
     least = np.array([((h ^ _SALTS[i]) * _LANES[i]).min() for i in range(bands * rows)], np.uint64).reshape(bands, rows)
     key = np.full(bands, 0x9E3779B97F4A7C15, np.uint64) * np.arange(1, bands + 1, dtype=np.uint64)
     for r in range(rows):
@@ -83,24 +88,31 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.nd
 
 
 def fingerprint_rows(df: DataFrame, key: str, text: str, words: int, lanes: int, sketch: bool) -> DataFrame:
-    """k, fp (binary, 8 bytes a lane), and with sketch the band keys, for every row; null text counts as empty."""
+    """k, fp (binary, 8 bytes a lane), and with sketch the band keys and a digest s of the shingle set, for every row; null text counts as empty.
+
+    With sketch, repeated shingles count once.
+    """
     frame = key_frame(df, key, text)
     kind = frame.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, bands = [], []
+        fps, bands, digests = [], [], []
         for t in bytes_list(batch.column(1)):
             h = shingle_hashes(t, words)
+            if sketch:
+                h = np.unique(h)
             fps.append(bit_majority(h, lanes).astype(">u8").tobytes())
             if sketch:
                 bands.append(band_keys(h))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
         columns = [batch.column(0), pa.array(fps, pa.binary())]
         if sketch:
             flat = np.concatenate(bands)
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat)))
-        return pa.RecordBatch.from_arrays(columns, ["k", "fp", "bands"][: len(columns)])
+            columns.append(pa.array(digests, pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, ["k", "fp", "bands", "s"][: len(columns)])
 
-    return map_batches(frame, f"k {kind}, fp binary" + ", bands array<long>" * sketch, run)
+    return map_batches(frame, f"k {kind}, fp binary" + ", bands array<long>, s binary" * sketch, run)
 
 
 def block_bounds(bits: int, blocks: int) -> list[tuple[int, int]]:
@@ -177,6 +189,32 @@ def small_links(fps: np.ndarray, group: np.ndarray, radius: int, most: int) -> t
     return parent[child], child
 
 
+def _whole_groups(part: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None]):
+    """mapInArrow body over rows sorted by group (g, t, u): calls part with whole groups and their columns g, t, u."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            g = np.stack([table.column(c).to_numpy() for c in ("g", "t", "u")], 1)
+            change = np.flatnonzero((g[1:] != g[:-1]).any(1))
+            if not len(change):  # one group so far; tiles bound its size
+                continue
+            cut = int(change[-1]) + 1
+            if (out := part(table.slice(0, cut), g[:cut])) is not None:
+                yield out
+            held = table.slice(cut).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            if (out := part(table, np.stack([table.column(c).to_numpy() for c in ("g", "t", "u")], 1))) is not None:
+                yield out
+
+    return run
+
+
 def _compare(radius: int, lanes: int):
     """mapInArrow body over rows (g: group, m: side, k, fp) sorted by group: the links of each group's forest."""
     small = 32
@@ -201,26 +239,6 @@ def _compare(radius: int, lanes: int):
             return None
         return pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in (src, dst)], ["a", "b"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            g = np.stack([table.column(c).to_numpy() for c in ("g", "t", "u")], 1)
-            change = np.flatnonzero((g[1:] != g[:-1]).any(1))
-            if not len(change):  # one group so far; tiles bound its size
-                continue
-            cut = int(change[-1]) + 1
-            if (out := part(table.slice(0, cut), g[:cut])) is not None:
-                yield out
-            held = table.slice(cut).to_batches()
-        if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            if (out := part(table, np.stack([table.column(c).to_numpy() for c in ("g", "t", "u")], 1))) is not None:
-                yield out
-
     def part(table: pa.Table, g: np.ndarray) -> pa.RecordBatch | None:
         number = np.concatenate(([0], np.cumsum((g[1:] != g[:-1]).any(1))))
         raw = b"".join(table.column("fp").to_pylist())
@@ -229,7 +247,7 @@ def _compare(radius: int, lanes: int):
         keys = table.column("k").combine_chunks()
         return links(number, side, keys if isinstance(keys, pa.Array) else pa.concat_arrays(keys.chunks), fps)
 
-    return run
+    return _whole_groups(part)
 
 
 def candidate_links(reps: DataFrame, radius: int, lanes: int, sketch: bool, tile: int = TILE) -> DataFrame:
@@ -312,7 +330,81 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1, radius: int = 4, sketch: bool = False) -> DataFrame:
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of sets (sorted, distinct) whose Jaccard similarity is at least `similarity`, as a forest; two empty sets are equal.
+
+    Each step counts one set's common elements with all others by an inverted
+    index. The end is reached when all sets not yet counted are in one tree.
+    """
+    num, den = Fraction(str(similarity)).as_integer_ratio()
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    order = np.argsort(flat, kind="stable")
+    starts = segment_starts(flat[order])
+    lengths = np.diff(np.append(starts, len(flat)))
+    element = np.empty(len(flat), np.int64)
+    element[order] = np.repeat(np.arange(len(starts)), lengths)
+    owner = np.repeat(np.arange(n), size)[order]
+    first = np.cumsum(size) - size
+    parent, left = np.arange(n), np.ones(n, bool)
+    while left.any():
+        rest = np.flatnonzero(left)
+        roots, count = np.unique(parent[rest], return_counts=True)
+        if len(roots) == 1:
+            break
+        i = rest[parent[rest] != roots[count.argmax()]][0]
+        left[i] = False
+        own = element[first[i] : first[i] + size[i]]
+        own = own[lengths[own] > 1]
+        common = np.zeros(n, np.int64)
+        part = np.cumsum(lengths[own]) // POSTINGS
+        for a, b in zip(found := segment_starts(part).tolist(), [*found[1:], len(own)]):
+            common += np.bincount(owner[ranges(starts[own[a:b]], lengths[own[a:b]])], minlength=n)
+        common[i] = size[i]
+        near = np.flatnonzero(common * den >= num * (size[i] + size - common))
+        _hook(parent, np.full(len(near), i), near)
+    child = np.flatnonzero(parent != np.arange(n))
+    return parent[child], child
+
+
+def verified_links(df: DataFrame, clusters: DataFrame, key: str, text: str, words: int, similarity: float, rows: int = SET_ROWS) -> DataFrame:
+    """Links (a, b) between documents of one cluster (id, component) whose shingle sets have at least this Jaccard similarity.
+
+    A cluster over a tile is cut into tiles by hash, and each pair of tiles is
+    a task's group, so that every pair of a cluster meets; each group gives the
+    links of a spanning forest.
+    """
+    members = clusters.select(F.col("id").alias("k"), F.col("component").alias("c"))
+    members = stored(members.unionByName(clusters.select(F.col("component").alias("k"), F.col("component").alias("c")).distinct()), "members")
+    docs = key_frame(df, key, text).toDF("k", "text").where(F.col("k").isNotNull())
+    docs = may_be_among(docs, "k", members).join(members, "k").groupBy("k", "c").agg(F.collect_set("text").alias("texts"))  # a key's repeated rows count once
+    docs = stored(docs.select("k", F.xxhash64("c").alias("g"), F.explode("texts").alias("text")), "clustered")
+    tiles = F.ceil(F.greatest(F.count("*") / rows, F.sum(F.octet_length("text")) / SET_BYTES)).cast("int")
+    large = docs.groupBy("g").agg(tiles.alias("tiles")).where("tiles > 1")  # at most one row for each tile of the input
+    dealt = docs.join(F.broadcast(large), "g", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tiles = 1 OR own <> other")
+    dealt = dealt.select("g", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "k", "text")
+    spread = dealt.repartition("g", "t", "u").sortWithinPartitions("g", "t", "u", "k")
+
+    def part(table: pa.Table, g: np.ndarray) -> pa.RecordBatch | None:
+        keys, texts = (table.column(c).combine_chunks() for c in ("k", "text"))
+        starts = np.concatenate(([0], np.flatnonzero((g[1:] != g[:-1]).any(1)) + 1, [len(g)])).tolist()
+        src, dst = [], []
+        for a, b in zip(starts, starts[1:]):
+            if b - a > 1:
+                i, j = set_links([np.unique(shingle_hashes(t, words)) for t in bytes_list(texts.slice(a, b - a))], similarity)
+                src.append(i + a), dst.append(j + a)
+        if not sum(map(len, src)):
+            return None
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in (src, dst)], ["a", "b"])
+
+    kind = docs.schema["k"].dataType.simpleString()
+    return spread.mapInArrow(_whole_groups(part), f"a {kind}, b {kind}")
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1, radius: int = 4, sketch: bool = False, similarity: float = 0.8) -> DataFrame:
     """k, fp (binary), component for every row: the least key reachable over links of at most radius bits.
 
     Rows with equal fingerprints link. Null text and text without a word have
@@ -320,18 +412,23 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     one document. A row with a null key takes the component of its fingerprint,
     null if no other row has that fingerprint. An empty table gives an empty result; extra columns
     are not read. Copies are never expanded into pairs: one row for each
-    distinct fingerprint is compared.
+    distinct fingerprint is compared. With sketch, links are pairs whose
+    shingle sets have at least the Jaccard similarity given; the radius only
+    chooses which pairs are compared, and rows with equal sets are copies.
     """
     if not sketch and (lanes != 1 or not 0 <= radius < 64):
         raise ValueError("blocks need one lane and a radius below 64")
     rows = stored(fingerprint_rows(df, key, text, words, lanes, sketch), "fingerprints")
-    chosen = [F.min("k").alias("k")] + [F.min("bands").alias("bands")] * sketch
-    reps = rows.groupBy("fp").agg(*chosen)
+    same = "s" if sketch else "fp"
+    chosen = [F.min("k").alias("k")] + [F.min("fp").alias("fp"), F.min("bands").alias("bands")] * sketch
+    reps = rows.groupBy(same).agg(*chosen)
     reps = stored(reps, "reps")
     found = components(candidate_links(reps.where(F.col("k").isNotNull()), radius, lanes, sketch))
-    labels = stored(reps.select("fp", "k").join(found.withColumnRenamed("id", "k"), "k", "left").select("fp", F.coalesce("component", "k").alias("component")), "labels")
+    if sketch:
+        found = components(verified_links(df, found, key, text, words, similarity))
+    labels = stored(reps.select(same, "k").join(found.withColumnRenamed("id", "k"), "k", "left").select(same, F.coalesce("component", "k").alias("component")), "labels")
     # copies of one text may hold a third of all rows: Spark splits the large side of this join
-    return rows.select("k", "fp").join(labels, "fp")
+    return rows.select("k", "fp", *([same] * sketch)).join(labels, same).select("k", "fp", "component")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
@@ -339,13 +436,14 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     Fingerprints have 64 * lanes bits. Two texts whose shingle sets have the
     Jaccard similarity s differ in a share acos(2s / (1 + s)) / pi of the bits
-    on average; the radius is that share for `similarity` plus one standard
-    deviation, so that pairs at the similarity itself are found. Rows with a
-    null key are kept.
+    on average, and at s = 0.8 in at most 3/16 where sets are small (4 of 5
+    shingles). The radius is the larger share plus four standard deviations: it
+    leaves out pairs that cannot be near, and `similarity` itself is checked
+    exactly. Rows with a null key are kept.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    share = max(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 3 / 16)
     bits = 64 * lanes
-    radius = int(np.ceil(bits * share + (bits * share * (1 - share)) ** 0.5))
-    groups = near_groups(df, key, text, words, lanes, radius, sketch=True)
+    radius = int(np.ceil(bits * share + 4 * (bits * share * (1 - share)) ** 0.5))
+    groups = near_groups(df, key, text, words, lanes, radius, sketch=True, similarity=similarity)
     lost = groups.where(F.col("k").isNotNull() & (F.col("k") != F.col("component"))).select(F.col("k").alias(key)).distinct()
     return df.join(lost, key, "left_anti").select(*(f"`{c}`" for c in df.columns))

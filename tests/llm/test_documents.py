@@ -223,3 +223,61 @@ def test_op7_against_sql(spark, sf):
     want = duckdb.connect().execute(queries.OP7_SQL.replace("FROM documents", f"FROM read_parquet('{sf}/documents.parquet')")).fetchall()
     got = [tuple(r) for r in queries.op7_shards(spark, sf).collect()]
     assert sorted(map(str, got)) == sorted(str((i, s, c, law, shard, slot, None)) for i, s, c, law, shard, slot, _ in want)
+
+
+def jaccard_pair(rng, size, common):
+    """Two texts of `size` distinct five-word shingles each, whose first `common` ones agree."""
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 8))
+    head = [word() for _ in range(common + 4)]
+    return [" ".join(head + [word() for _ in range(size - common)]) for _ in range(2)]
+
+
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs just at 0.8 lose one, pairs just under it lose none, and repeated lines count once."""
+    rng = np.random.default_rng(8)
+    texts, want = [], set()
+    for _ in range(40):
+        for common, linked in ((160, True), (159, False), (157, False)):  # of 180 each: 160 / 200 = 0.8
+            a, b = jaccard_pair(rng, 180, common)
+            assert (len(set(shingles(a)) & set(shingles(b))) >= 0.8 * len(set(shingles(a)) | set(shingles(b)))) == linked
+            want |= {len(texts)} if linked else {len(texts), len(texts) + 1}
+            texts += [a, b]
+    line = jaccard_pair(rng, 20, 20)[0]
+    for _ in range(2):  # share only a line that they repeat
+        want.add(len(texts))
+        texts.append(" ".join([line] * 40 + jaccard_pair(rng, 60, 60)[:1]))
+    once = jaccard_pair(rng, 100, 100)[0]
+    want.add(len(texts))
+    texts += [" ".join([once] * n) for n in (2, 30)]  # one set, other counts
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def shingles(text):
+    words = text.lower().split()
+    return [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+
+
+@pytest.mark.parametrize("rows", [3, 256])
+def test_verified_links_against_brute_force(spark, rows):
+    """One cluster in tiles of any size gives the groups of all its pairs."""
+    rng = np.random.default_rng(rows)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        new = base[int(rng.integers(0, 12)) :]
+        new[int(rng.integers(0, len(new)))] = f"x{i % 7}"
+        texts.append(" ".join(new))
+    sets = [set(shingles(t)) for t in texts]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 1 < len(set(root)) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(100 + i, "other text") for i in range(50)], "doc_id long, text string")
+    clusters = spark.createDataFrame([(i, 0) for i in range(1, 60)], "id long, component long")
+    links = simhash.verified_links(docs, clusters, "doc_id", "text", 5, 0.8, rows)
+    found = {r["id"]: r["component"] for r in simhash.components(links).collect()}
+    assert [found.get(i, i) for i in range(60)] == root
