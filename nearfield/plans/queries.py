@@ -1,7 +1,7 @@
 """The registered vector queries and their SQL oracles.
 
-All run over the whole `embeddings` table; queries take one row's vector, or
-rows of one label, as their question.
+All run over the whole `embeddings` table; queries take one row's vector, rows
+of one label, or (the joins named ..._whole) every row as their question.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..config import Metric
 from ..functions import codes, distance as D
 from ..functions.sql import register, register_table
 from ..operators import aggregates, fusion, joins, knn, twostage
+from ..operators.blocks import many_nearest
 from .index import VectorIndex
 
 K = 10
@@ -188,6 +189,66 @@ def match_unnested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("left_id", F.col("row.vec_id").alias("right_id"), F.col("row.label").alias("right_label"), "score")
 
 
+# --- the same joins with every row of the table on the left
+
+_EVERY = " WHERE label = 7"  # what the SQL of the joins above leaves out
+
+
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
+
+
+def _lateral_whole(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return joins.lateral_join(_every(spark, sf_dir), embeddings(spark, sf_dir), "query", "embedding", 5, metric)
+
+    return run
+
+
+for _m in ("l2", "cosine", "ip"):
+    query(f"lateral_join_{_m}_whole", SQL[f"lateral_join_{_m}"].replace(_EVERY, ""))(_lateral_whole(_m))
+
+
+@query("lateral_join_blocks_whole", SQL["lateral_join_l2"].replace(_EVERY, ""))
+def lateral_join_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By blocks of queries and of rows, as for query sets too large to send to every executor."""
+    return many_nearest(embeddings(spark, sf_dir), _every(spark, sf_dir), 5, "l2", broadcast_bytes=0)
+
+
+@query("index_join_whole", f"SELECT r.query_id, l.label AS query_label, r.vec_id, b.label, r.dist, r.row_number FROM ({SQL['lateral_join_l2'].replace(_EVERY, '')}) r JOIN embeddings b USING (vec_id) JOIN embeddings l ON l.vec_id = r.query_id")
+def index_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = joins.index_join(_every(spark, sf_dir), embeddings(spark, sf_dir), "query", "embedding", 5)
+    return found.select("query_id", "query_label", "vec_id", "label", "dist", "row_number")
+
+
+def _knn_join_whole(metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = embeddings(spark, sf_dir)
+        found = joins.knn_join(base, base, "embedding", "embedding", 5, metric)
+        return found.select(F.col("left_tbl.vec_id").alias("left_id"), F.col("right_tbl.vec_id").alias("right_id"), F.col("right_tbl.label").alias("right_label"), "score")
+
+    return run
+
+
+for _m in ("l2sq", "cosine", "ip"):
+    query(f"knn_join_{_m}_whole", SQL[f"knn_join_{_m}"].replace(_EVERY, ""))(_knn_join_whole(_m))
+
+
+@query("knn_match_whole", SQL["knn_match"].replace(_EVERY, ""))
+def knn_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = embeddings(spark, sf_dir)
+    found = joins.knn_match(base, base, "embedding", "embedding", 5)
+    line = F.array_join(F.transform("matches", lambda m: F.concat(m["row"]["vec_id"].cast("string"), F.lit(":"), m["row"]["label"].cast("string"))), ",")
+    return found.select(F.col("vec_id").alias("left_id"), line.alias("matches"), F.size("matches").cast("long").alias("n"))
+
+
+@query("match_unnested_whole", SQL["match_unnested"].replace(_EVERY, ""))
+def match_unnested_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = embeddings(spark, sf_dir)
+    rows = joins.knn_match(base, base, "embedding", "embedding", 5).select(F.col("vec_id").alias("left_id"), F.inline("matches"))
+    return rows.select("left_id", F.col("row.vec_id").alias("right_id"), F.col("row.label").alias("right_label"), "score")
+
+
 @query("fetch_rows", f"SELECT f.vec_id, f.dist, d.lang, d.source FROM ({_sql(columns='b.vec_id')}) f JOIN documents d ON d.doc_id = f.vec_id")
 def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = knn.knn(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir), K).select("vec_id", "dist")

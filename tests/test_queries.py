@@ -41,3 +41,16 @@ def test_entry(spark):
 def test_plans_push_down(spark, sf):
     plan = entry.queries()["filter_pre"](spark, sf)._jdf.queryExecution().toString()
     assert "EqualTo(label,3)" in plan and "TakeOrderedAndProject" in plan
+
+
+WHOLE = ["lateral_join_l2", "lateral_join_cosine", "lateral_join_ip", "lateral_join_blocks", "index_join", "knn_join_l2sq", "knn_join_cosine", "knn_join_ip", "knn_match", "match_unnested"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_every_row_is_joined(spark, sf, name):
+    """Each row of the table, of whatever label, has its neighbours."""
+    got = entry.queries()[f"{name}_whole"](spark, sf)
+    left = "query_id" if "query_id" in got.columns else "left_id"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    found = [r[0] for r in got.select(left).collect()]
+    assert set(found) == ids and len(found) == len(ids) * (1 if name == "knn_match" else 5)
