@@ -62,7 +62,8 @@ class Graph:
         limit: only rows below it are in the graph yet. allowed (booleans): any
         node may be crossed but only allowed ones are results; the walk ends
         when the beam's best is beyond gamma times the worst of k results.
-        With ternary edges, the beam is ordered by codes and results by vectors.
+        With ternary edges, the beam is ordered by codes, and results by the
+        vectors of all nodes met, not just of those the beam visits.
         """
         n = len(self.ids) if limit is None else limit
         if not n:
@@ -86,6 +87,16 @@ class Graph:
         beam = [(first, self.entry)]  # to visit, nearest first
         held = [(-first, -self.entry)]  # the best `breadth` met so far, farthest first
         best: list[tuple[float, int]] = []  # results, farthest first
+
+        def met(rows: np.ndarray) -> None:
+            rows = rows if allowed is None else rows[allowed[rows]]
+            for exact, row in zip(self.measure(q, rows).tolist(), rows.tolist()):
+                heapq.heappush(best, (-exact, -row))
+                if len(best) > breadth:
+                    heapq.heappop(best)
+
+        if coded:
+            met(start)
         while beam:
             d, row = heapq.heappop(beam)
             if len(held) >= breadth and (-d, -row) < held[0]:
@@ -93,9 +104,8 @@ class Graph:
             if allowed is not None and len(best) >= k and not coded and d > -best[0][0] * gamma and len(held) >= breadth:
                 break
             self.visits += 1
-            if allowed is None or allowed[row]:
-                exact = float(self.measure(q, np.array([row]))[0]) if coded else d
-                heapq.heappush(best, (-exact, -row))
+            if not coded and (allowed is None or allowed[row]):
+                heapq.heappush(best, (-d, -row))
                 if len(best) > max(k, breadth):
                     heapq.heappop(best)
             around = self.near[row, : self.count[row]]
@@ -104,6 +114,8 @@ class Graph:
             if not len(around):
                 continue
             seen[around] = True
+            if coded:
+                met(around)
             for dn, other in zip(guess(around).tolist(), around.tolist()):
                 if len(held) < breadth or (-dn, -other) > held[0]:
                     heapq.heappush(beam, (dn, other))

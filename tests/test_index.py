@@ -130,3 +130,10 @@ def test_stream(spark, sf, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     ingest(stream, index, f"{tmp_path}/state", op_col="op", compact_every=1).awaitTermination()
     assert index.rows().count() == rows.where("op = 'put'").count() and index.meta["deltas"] == []
+
+
+def test_ternary_recall_with_default_options(spark, sf):
+    from nearfield.plans.queries import QUERIES
+
+    found = QUERIES["index_recall_ternary_default"](spark, sf).first()
+    assert found["queries"] == 5 and found["recall"] >= 0.9
