@@ -22,8 +22,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def within_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return rules.keep_by_rules(docs, read_table(spark, sf_dir, "labels"))
+    """Documents that the quality rules keep; the forest sees all labelled documents, also those rejected before."""
+    return rules.keep_by_rules(docs, read_table(spark, sf_dir, "labels"), known=read_table(spark, sf_dir, "documents"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import public_tokenizers as P
 import sentencepiece
 
 import corpus_pipeline
+from nearfield.llm import rules
 
 
 def test_stages(spark, sf, documents, odd):
@@ -26,3 +27,15 @@ def test_stages_on_an_empty_table(spark, sf, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_rules_stage_sees_labels_of_rows_rejected_before(spark):
+    """With no bad labelled row left in its input, the stage still rejects the anomalies that op10_rules rejects."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    left = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    verdicts = {r["doc_id"]: r for r in rules.apply_rules(docs, labels).collect()}
+    ids = {r["doc_id"] for r in left.select("doc_id").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.within_rules(spark, left, sf).collect()}
+    assert kept == {i for i in ids if verdicts[i]["kept"]}
+    assert any(not verdicts[i]["base_failed"] for i in ids - kept)
