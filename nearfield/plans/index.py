@@ -189,15 +189,16 @@ class VectorIndex:
         self.insert(df, col, id_col)
 
     def compact(self, rebuild: bool = False) -> None:
-        """Folds deltas and tombstones into a new version; only touched shards are rebuilt, or all with rebuild."""
+        """Folds deltas and tombstones into a new version; only touched shards are rebuilt, or all with rebuild or if the rows need more shards."""
         meta, config = self.meta, self.config
         if not (meta["deltas"] or meta["tombstones"] or rebuild):
             return
         rows, shards = self.rows(), meta["shards"]
         if not config.dimensions and (first := rows.select(F.size("vector")).first()):
             config = config.bound(first[0], "float32")
-        if rebuild:
-            shards = max(1, -(-rows.count() // config.shard_rows))
+        needed = max(1, -(-rows.count() // config.shard_rows))
+        if rebuild or needed > shards:
+            shards = needed
             new = self._built(rows, config, shards)
         else:
             touched = self._touched().select(self._shard(shards)).distinct()

@@ -137,3 +137,13 @@ def test_ternary_recall_with_default_options(spark, sf):
 
     found = QUERIES["index_recall_ternary_default"](spark, sf).first()
     assert found["queries"] == 5 and found["recall"] >= 0.9
+
+
+def test_compaction_adds_shards(spark, sf, tmp_path):
+    """An index created empty gets as many shards as its rows need, and no shard holds them all."""
+    base = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 60")
+    index = VectorIndex.create(base.limit(0), "embedding", f"file://{tmp_path}/grown", options={"R": 8, "L_INSERT": 16, "SHARD_ROWS": 20})
+    index.insert(base)
+    index.compact()
+    assert index.meta["shards"] == 3 and index.nodes().select("shard").distinct().count() == 3
+    assert index.rows().count() == 60
