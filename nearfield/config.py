@@ -28,7 +28,7 @@ class Metric(str, Enum):
 METRIC_NAMES = {"l2": Metric.L2, "l2sq": Metric.L2, "euclidean": Metric.L2, "cosine": Metric.COSINE, "cos": Metric.COSINE, "ip": Metric.IP}
 
 ELEMENT_TYPES = ("float32", "int8")
-EDGE_TYPES = ("none", "ternary", "int8", "float16", "1bit")
+EDGE_TYPES = ("none", "ternary")
 FORMAT_VERSION = 3
 
 
@@ -62,8 +62,6 @@ class IndexConfig:
             raise ValueError(f"edge_type must be one of {EDGE_TYPES}")
         if self.edge_type == "ternary" and self.metric is Metric.L2:
             raise ValueError("ternary codes do not approximate L2; use cosine or ip")
-        if self.edge_type == "1bit" and self.metric is not Metric.COSINE:
-            raise ValueError("1-bit codes need the cosine metric")
         if self.element_type and self.element_type not in ELEMENT_TYPES:
             raise ValueError(f"vectors must be one of {ELEMENT_TYPES}")
         if self.dimensions < 0:
@@ -119,4 +117,4 @@ class IndexConfig:
 
     def edge_bytes(self) -> int:
         plane = 8 * ((self.dimensions + 63) // 64)
-        return {"none": 0, "ternary": 2 * plane, "int8": self.dimensions, "float16": 2 * self.dimensions, "1bit": plane}[self.edge_type]
+        return {"none": 0, "ternary": 2 * plane}[self.edge_type]

@@ -33,3 +33,9 @@ def test_options_of_either_spelling():
         c.bound(3, "text")
     with pytest.raises(ValueError, match="format"):
         IndexConfig.from_dict(c.to_dict() | {"format_version": 1})
+
+
+@pytest.mark.parametrize("edge", ["int8", "float16", "1bit"])
+def test_edge_codes_that_are_not_built_are_refused(edge):
+    with pytest.raises(ValueError, match="edge_type"):
+        IndexConfig.from_options({"METRIC": "cosine", "EDGE_TYPE": edge})
