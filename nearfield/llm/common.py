@@ -59,13 +59,17 @@ def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path.rsplit("/", 1)[1]
 
 
-def buckets_for(df: DataFrame, mb: int = 16) -> int:
-    """How many buckets give each about mb megabytes of the input's files; never under the session's shuffle partitions."""
+def buckets_for(df: DataFrame, mb: int = 16, most: int = 20_000) -> int:
+    """How many buckets give each about mb megabytes of the input's files, up to `most`; never under the session's shuffle partitions.
+
+    What works through a bucket does so in slices, so `most` bounds the driver's
+    lists and tasks without a task's memory growing.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if size > 1 << 55:  # Spark does not know the size
         return least
-    return max(least, -(-size // (mb << 20)))
+    return max(least, min(most, -(-size // (mb << 20))))
 
 
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -195,15 +199,26 @@ class PairTable:
         return out
 
 
+class Numbered(dict):
+    """A number for each key, in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 class WordStore:
     """Ids of words that came before, so that each distinct word is encoded once.
 
-    When it holds over `most` words, those that came in one call only leave.
+    A key that does not begin with a space stands for a word with the
+    tokenizer's own space before it; a space and then any text stands for that
+    text. When the store holds over `most` words, those that came in one call
+    only leave.
     """
 
     def __init__(self, most: int = 350_000):
         self.most = most
-        self.words: dict[str, int] = {}
+        self.words = Numbered()
         self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.calls = np.zeros(0, np.int32)
 
@@ -212,52 +227,32 @@ class WordStore:
         if 2 * len(keep) > self.most:
             keep = np.zeros(0, np.int64)
         names = list(self.words)
-        self.words = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.words = Numbered({names[i]: n for n, i in enumerate(keep.tolist())})
         sizes = np.diff(self.starts)[keep]
         self.flat = self.flat[ranges(self.starts[keep], sizes)]
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.calls = np.ones(len(keep), np.int32)
 
-    def gather(self, pieces: list[str], index: np.ndarray, counts: np.ndarray, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of texts made of pieces[index], counts[i] of them in the i-th, and where each text's begin."""
+    def gather(self, texts: Iterable[list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts, each given as a list of keys, and where each text's begin."""
         if len(self.words) > self.most:
             self._thin()
-        known, before = self.words, len(self.words)
-        at = np.fromiter([known.setdefault(w, len(known)) for w in pieces], np.int64, len(pieces))
-        if len(known) > before:
-            flat, starts = encode(list(islice(known, before, None)))  # a dict keeps the order of insertion
+        number, before = self.words.__getitem__, len(self.words)
+        at = [np.fromiter(map(number, keys), np.int32, len(keys)) for keys in texts]
+        counts = np.fromiter(map(len, at), np.int64, len(at))
+        at = np.concatenate(at) if at else np.zeros(0, np.int32)
+        if len(self.words) > before:
+            flat, starts = encode(list(islice(self.words, before, None)))  # a dict keeps the order of insertion
             self.starts = np.concatenate((self.starts, starts[1:] + len(self.flat)))
             self.flat = np.concatenate((self.flat, flat))
-            self.calls = np.concatenate((self.calls, np.zeros(len(known) - before, np.int32)))
-        self.calls[at] += 1
-        at = at[index]
+            self.calls = np.concatenate((self.calls, np.zeros(len(self.words) - before, np.int32)))
+        self.calls += np.bincount(at, minlength=len(self.words)) > 0
         first = self.starts[at]
-        sizes = self.starts[at + 1] - first
+        sizes = self.starts[at + np.int32(1)] - first
         ends = np.concatenate(([0], np.cumsum(sizes)))
         return self.flat[ranges(first, sizes)], ends[np.concatenate(([0], np.cumsum(counts)))]
 
 
-def split_at_spaces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pieces between single spaces, each piece's number in order, and pieces in each text."""
-    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-    encoded = lists.flatten().dictionary_encode()
-    return encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def joined_index(groups: list[tuple[np.ndarray, list[str], np.ndarray, np.ndarray]], texts: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """One index from several, each for some of the texts: (texts' numbers in order, pieces, index, counts)."""
-    pieces: list[str] = []
-    counts = np.zeros(texts, np.int64)
-    for numbers, _, _, own in groups:
-        counts[numbers] = own
-    starts = np.cumsum(counts) - counts
-    index = np.zeros(int(counts.sum()), np.int64)
-    for numbers, words, own, sizes in groups:
-        index[ranges(starts[numbers], sizes)] = own + len(pieces)
-        pieces += words
-    return pieces, index, counts
-
-
 def in_slices(texts: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 4 * SLICE_CHARS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, flat ids, starts) for consecutive slices of texts."""
     for a, b in slices(texts, most):

@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import WordStore, buckets_for, joined_index, key_frame, ranges, split_at_spaces, stored, text_list
+from .common import WordStore, buckets_for, key_frame, ranges, stored, text_list
 
 BLOCK_IDS = 1 << 22
 SLICE = 6 << 20
+JOINT = 40
+#: Most blocks whose starts are sent to all executors; those of more are joined as Spark chooses.
+MOST_SENT = 1 << 20
 _LENGTHS = np.array([[(c >> (2 * i) & 3) + 1 for i in range(4)] for c in range(256)], np.int64)  # control byte -> four lengths
 #: Texts with a space at an end or beside white space, with rare white space, or empty.
 _ODD = "^$|^ | $|  | [\\n\\t\\r]|[\\n\\t\\r] |[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -37,18 +40,23 @@ def pack_ids(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     uses = np.bincount(ids)
     distinct = np.flatnonzero(uses)
     distinct = distinct[np.lexsort((distinct, -uses[distinct]))]
-    place = np.zeros(len(uses), np.int64)
+    place = np.zeros(len(uses), np.int32)
     place[distinct] = np.arange(len(distinct))
     value = place[ids]
-    size = 1 + (value > 0xFF) + (value > 0xFFFF) + (value > 0xFFFFFF)
+    extra = (value > 0xFF).view(np.uint8)
+    for b in (16, 24):
+        if len(distinct) > 1 << b:
+            extra = extra + (value >= 1 << b)
     padded = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
-    padded[: len(ids)] = size - 1
+    padded[: len(ids)] = extra
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    at = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for b in range(int(size.max())):
-        has = size > b
+    ends = np.cumsum(extra, dtype=np.int64) + np.arange(1, len(ids) + 1)
+    data = np.zeros(int(ends[-1]), np.uint8)
+    at = ends - extra - 1
+    data[at] = value & 0xFF
+    for b in range(1, int(extra.max()) + 1):
+        has = np.flatnonzero(extra >= b)
         data[at[has] + b] = (value[has] >> (8 * b)) & 0xFF
     return distinct.astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes()
 
@@ -82,28 +90,29 @@ class WordCachedTokenizer:
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(self.library.get_vocab_size())])
         self.store = WordStore()
 
-    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, and where each word's begin.
+    def _library(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the store's keys, and where each one's begin.
 
-        Words with a space before and none inside are encoded 500 at a time as
-        one text: each of them begins with the only id that begins with a space.
+        Words with a space before are encoded JOINT at a time as one text: each
+        of them begins with the only id that begins with a space.
         """
-        simple = np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace() and w.count(" ") == 1 for w in words], bool)
-        joint, alone = np.flatnonzero(simple), [np.flatnonzero(~simple)]
+        bare = np.fromiter((k[:1] != " " for k in keys), bool, len(keys))
+        joint, alone = np.flatnonzero(bare), [np.flatnonzero(~bare)]
         order, ids, sizes = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        groups = [joint[i : i + 500] for i in range(0, len(joint), 500)]
-        for group, e in zip(groups, self.library.encode_batch_fast(["".join([words[i] for i in g.tolist()]) for g in groups], add_special_tokens=False)):
+        groups = [joint[i : i + JOINT] for i in range(0, len(joint), JOINT)]
+        texts = [" " + " ".join([keys[i] for i in g.tolist()]) for g in groups]
+        for group, e in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             found = np.array(e.ids, np.int32)
             cuts = np.flatnonzero(self.spaced[found])
             if len(cuts) == len(group):
                 order.append(group), ids.append(found), sizes.append(np.diff(np.append(cuts, len(found))))
             else:
                 alone.append(group)
-        for i in np.concatenate(alone).tolist():
-            found = np.array(self.library.encode(words[i], add_special_tokens=False).ids, np.int32)
-            order.append(np.array([i])), ids.append(found), sizes.append(np.array([len(found)]))
-        size, flat = np.zeros(len(words), np.int64), np.concatenate(ids)
-        got, at = np.concatenate(sizes), np.zeros(len(words), np.int64)
+        rest = np.concatenate(alone)
+        for i, e in zip(rest.tolist(), self.library.encode_batch_fast([keys[i][1:] if keys[i][:1] == " " else " " + keys[i] for i in rest.tolist()], add_special_tokens=False)):
+            order.append(np.array([i])), ids.append(np.array(e.ids, np.int32)), sizes.append(np.array([len(e.ids)]))
+        size, flat = np.zeros(len(keys), np.int64), np.concatenate(ids)
+        got, at = np.concatenate(sizes), np.zeros(len(keys), np.int64)
         if order:
             place = np.concatenate(order)
             size[place], at[place] = got, np.cumsum(got) - got
@@ -111,21 +120,17 @@ class WordCachedTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and where each text's begin (one more than texts)."""
-        plain = ~pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
-        groups = []
-        regular = np.flatnonzero(plain)
-        if len(regular):
-            words, index, counts = split_at_spaces([texts[i] for i in regular.tolist()])
-            first = np.cumsum(counts) - counts
-            heads = [words[i] for i in index[first].tolist()]  # no space before a text's first word
-            index[first] = len(words) + np.arange(len(heads))
-            groups.append((regular, [" " + w for w in words] + heads, index, counts))
-        other = np.flatnonzero(~plain)
-        if len(other):
-            split = [_BOUNDARY.split(texts[i]) if texts[i] else [] for i in other.tolist()]
-            words = [" " * (i > 0) + w for ws in split for i, w in enumerate(ws)]
-            groups.append((other, words, np.arange(len(words)), np.array(list(map(len, split)), np.int64)))
-        return self.store.gather(*joined_index(groups, len(texts)), self._library)
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_numpy(zero_copy_only=False).tolist()
+        return self.store.gather(map(self._keys, texts, odd), self._library)
+
+    @staticmethod
+    def _keys(text: str, odd: bool) -> list[str]:
+        """The text's words as the store's keys; the first has no space before it."""
+        if odd:
+            return [" " * (1 + (i > 0)) + w for i, w in enumerate(_BOUNDARY.split(text))] if text else []
+        words = text.split(" ")
+        words[0] = " " + words[0]
+        return words
 
 
 _tokenizers: dict[str, WordCachedTokenizer] = {}
@@ -140,10 +145,11 @@ def tokenizer(path: str) -> WordCachedTokenizer:
 def write_ids(df: DataFrame, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], key: str = "doc_id", text: str = "text", end_id: int | None = None) -> DataFrame:
     """Writes the ids of all texts as blocks in ascending key and returns the table of blocks as read from its files.
 
-    Rows of one key follow each other by text; null keys come first; null text
-    is empty. A block has part and block (its place), keys, lengths, and the
-    three streams. Files are cut where range partitions are, so parts are in
-    the order of keys.
+    Rows of one key follow each other by text, so repeated rows are all
+    written; null keys come first; null text is empty. A block has part and
+    block (its place), keys, lengths, and the three streams. Files are cut
+    where range partitions are, so parts are in the order of keys. An empty
+    table gives no block; extra columns are not read.
     """
     frame = key_frame(df, key, text).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = frame.schema["k"].dataType.simpleString()
@@ -197,9 +203,15 @@ def block_starts(blocks: DataFrame) -> DataFrame:
 
 
 def read_ids(blocks: DataFrame, key: str = "doc_id", per_document: Callable[[np.ndarray], int] | None = None) -> DataFrame:
-    """key, start, n_tokens and ids (or per_document(ids) as `value`) of every document in the blocks."""
+    """key, start, n_tokens and ids (or per_document(ids) as `value`) of every document in the blocks.
+
+    Each written row gives one row, repeated ones too; no blocks give none.
+    """
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    located = blocks.join(block_starts(blocks), ["part", "block"]).select("start", "keys", "lengths", "header", "control", "data", "n_ids")
+    starts = block_starts(blocks)
+    if blocks.count() <= MOST_SENT:
+        starts = F.broadcast(starts)
+    located = blocks.join(starts, ["part", "block"]).select("start", "keys", "lengths", "header", "control", "data", "n_ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

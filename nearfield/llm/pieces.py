@@ -14,7 +14,7 @@ import re
 import numpy as np
 import sentencepiece
 
-from .common import PairTable, WordStore, joined_index, ranges, split_at_spaces
+from .common import PairTable, WordStore, ranges
 
 SPACE = "▁"
 _FAR = np.int64(1 << 40)
@@ -198,18 +198,16 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and where each text's begin (one more than texts)."""
-        plain = [bool(t) and "  " not in t and t[0] != " " and SPACE not in t for t in texts] if self.apart else [False] * len(texts)
-        groups = []
-        regular = np.flatnonzero(plain)
-        if len(regular):
-            words, index, counts = split_at_spaces([texts[i] for i in regular.tolist()])
-            groups.append((regular, [SPACE + w for w in words], index, counts))
-        other = np.flatnonzero(~np.array(plain, bool))
-        if len(other):
-            split = [self.split(texts[i]) for i in other.tolist()]
-            words = [w for ws in split for w in ws]
-            groups.append((other, words, np.arange(len(words)), np.array(list(map(len, split)), np.int64)))
-        return self.store.gather(*joined_index(groups, len(texts)), self.merge)
+        return self.store.gather(map(self._keys, texts), self._merged)
+
+    def _keys(self, text: str) -> list[str]:
+        """The text's words as the store's keys."""
+        if self.apart and text and "  " not in text and text[0] != " " and SPACE not in text:
+            return text.split(" ")
+        return [" " + w for w in self.split(text)]
+
+    def _merged(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.merge([k[1:] if k[:1] == " " else SPACE + k for k in keys])
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: surfaces joined; the first piece loses its dummy prefix; bytes that are no UTF-8 become U+FFFD one by one."""
