@@ -59,16 +59,20 @@ def put_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path.rsplit("/", 1)[1]
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Size of the input's files as Spark estimates it, 0 where it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size > 1 << 55 else size
+
+
 def buckets_for(df: DataFrame, mb: int = 16, most: int = 20_000) -> int:
     """How many buckets give each about mb megabytes of the input's files, up to `most`; never under the session's shuffle partitions.
 
     What works through a bucket does so in slices, so `most` bounds the driver's
     lists and tasks without a task's memory growing.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = input_bytes(df)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if size > 1 << 55:  # Spark does not know the size
-        return least
     return max(least, min(most, -(-size // (mb << 20))))
 
 

@@ -48,7 +48,7 @@ def held(doc_id, folds, fold):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == fold
 
 
-def check_scores(df, order):
+def check_scores(df, order, **more):
     rows = [(r["doc_id"], (r["text"] or "").encode().lower()) for r in df.collect()]
     train = [t for i, t in rows if not held(i, 7, 2)]
     trie = Trie(train, order)
@@ -58,7 +58,7 @@ def check_scores(df, order):
         (i is not None, i or 0, held(i, 7, 2), len(t.split()) + 1, sum(count[w] > 0 for w in [*t.split(), None]), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*t.split(), None]), 6), round(trie.score(t), 6))
         for i, t in rows
     )
-    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ppm.score(df, order=order).collect())
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in ppm.score(df, order=order, **more).collect())
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:6] == b[:6] and np.allclose(a[6:], b[6:], atol=1e-5)
@@ -72,12 +72,45 @@ def test_op2_against_a_trie(documents, odd):
         ppm.score(odd, order=9)
 
 
-def test_probabilities_sum_to_one():
-    trie = Trie([b"abracadabra", b"banana"], 3)
-    rng = np.random.default_rng(0)
-    for _ in range(10):
-        context = tuple(rng.choice(list(b"abnrz"), 3).tolist())
-        assert math.isclose(sum(trie.prob(context, s) for s in range(257)), 1, abs_tol=0.5) and sum(trie.prob(context, s) for s in range(257)) <= 1 + 1e-9
+@pytest.mark.parametrize("cut", [(2, 2), (4096, 4)])
+def test_op2_however_the_cells_are_cut(documents, cut):
+    check_scores(documents.where("doc_id < 25"), 5, cut=cut)
+
+
+def test_cells_grow_with_the_input():
+    assert ppm.cells_for(0) == ppm.cells_for(30 << 30) == (1024, 3)
+    cells, shared = ppm.cells_for(100 << 40)
+    assert shared == 4 and cells > 100_000 and cells & (cells - 1) == 0
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_probabilities_sum_to_one(order):
+    """Of every context, seen or not, the 257 symbols' probabilities in ppm.code."""
+    rng = np.random.default_rng(order)
+    texts = [b"abracadabra", b"banana", b"", bytes(rng.integers(97, 103, 400, dtype=np.uint8)), bytes(rng.integers(0, 256, 60, dtype=np.uint8))]
+    keys, counts = ppm._uniq(ppm.runs(texts, order)[0])
+    low = keys
+    for _ in range(order - ppm.SHARED):
+        low = np.unique(ppm._lower(low))
+    short = ppm.short_levels(*ppm._uniq(ppm._lower(low)))
+    contexts = np.unique(np.concatenate((keys >> ppm.BITS, ppm.runs([bytes(rng.choice(list(b"abcdefz"), 200).tolist())], order)[0] >> ppm.BITS)))
+    every = (contexts[:, None] << ppm.BITS | np.arange(257)[None]).ravel()
+    uses = np.zeros(len(every), np.int64)
+    uses[np.searchsorted(every, keys)] = counts
+    assert np.allclose((10 ** ppm.code(every, uses, short, order)).reshape(-1, 257).sum(1), 1)
+
+
+def test_long_texts_come_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (3, 0, 64, 63, 65, 1, 128, 300, 5)]
+    whole = [ppm.runs([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(ppm, "SLICE_CHARS", 64)
+    found = [[] for _ in texts]
+    for keys, sizes, a, b in ppm._pieces(texts, ppm.ORDER):
+        assert len(keys) <= 64 + 64 + b - a
+        for i, own in zip(range(a, b), np.split(keys, np.cumsum(sizes)[:-1])):
+            found[i] += own.tolist()
+    assert found == whole
 
 
 def test_op2_beats_the_base_on_held_out_rows(spark, sf):
