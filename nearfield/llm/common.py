@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkFiles
@@ -19,14 +20,21 @@ from pyspark.sql import types as T
 SLICE_CHARS = 1 << 20
 
 
+def model_path(model: str) -> str:
+    """The path of a tokenizer's file: as given, or, of a bare name, where this machine has it."""
+    return model if "/" in model else public_tokenizers.path(model)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master, where all is one machine, a temporary one if that is unset."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("nearfield.sharedDir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="nearfield-")
         spark.conf.set("nearfield.sharedDir", folder)
     return folder
@@ -102,6 +110,17 @@ def key_frame(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in columns))
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    number = 0
+    while len(out) < n:
+        if (name := f"own_{number}") not in taken:
+            out.append(name)
+        number += 1
+    return out
+
+
 def map_batches(df: DataFrame, schema: T.StructType | str, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """mapInArrow with a function from one batch to one batch."""
 

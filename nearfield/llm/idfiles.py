@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import WordStore, buckets_for, key_frame, ranges, stored, text_list
+from .common import WordStore, buckets_for, key_frame, model_path, ranges, stored, text_list
 
 BLOCK_IDS = 1 << 22
 SLICE = 6 << 20
@@ -136,10 +136,10 @@ class WordCachedTokenizer:
 _tokenizers: dict[str, WordCachedTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordCachedTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordCachedTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(model: str) -> WordCachedTokenizer:
+    if model not in _tokenizers:
+        _tokenizers[model] = WordCachedTokenizer(model_path(model))
+    return _tokenizers[model]
 
 
 def write_ids(df: DataFrame, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], key: str = "doc_id", text: str = "text", end_id: int | None = None) -> DataFrame:

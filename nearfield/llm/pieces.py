@@ -14,7 +14,7 @@ import re
 import numpy as np
 import sentencepiece
 
-from .common import PairTable, WordStore, ranges
+from .common import PairTable, WordStore, model_path, ranges
 
 SPACE = "▁"
 _FAR = np.int64(1 << 40)
@@ -230,8 +230,8 @@ class PieceTokenizer:
 _tokenizers: dict[str, PieceTokenizer] = {}
 
 
-def tokenizer(path: str) -> PieceTokenizer:
+def tokenizer(model: str) -> PieceTokenizer:
     """One tokenizer for each model and worker process."""
-    if path not in _tokenizers:
-        _tokenizers[path] = PieceTokenizer(path)
-    return _tokenizers[path]
+    if model not in _tokenizers:
+        _tokenizers[model] = PieceTokenizer(model_path(model))
+    return _tokenizers[model]

@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +42,9 @@ def tokenized(df: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, counted and digested, and the digest of the decoded text."""
     frame = key_frame(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-    model = public_tokenizers.path(PIECE_MODEL)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = pieces.tokenizer(model)
+        tool = pieces.tokenizer(PIECE_MODEL)  # found on the worker's own machine
         for batch in batches:
             for a, b, ids, starts in in_slices(text_list(batch.column(1)), tool.encode):
                 counts, digests, decoded = [], [], []
@@ -87,8 +85,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path(BYTE_MODEL)
-    blocks = idfiles.write_ids(read_table(spark, sf_dir, "documents"), lambda texts: idfiles.tokenizer(model).encode(texts), end_id=END_ID)
+    blocks = idfiles.write_ids(read_table(spark, sf_dir, "documents"), lambda texts: idfiles.tokenizer(BYTE_MODEL).encode(texts), end_id=END_ID)
     return idfiles.read_ids(blocks, per_document=idfiles.crc_of_ids).withColumnRenamed("value", "ids_crc32")
 
 
