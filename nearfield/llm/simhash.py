@@ -7,8 +7,11 @@ differ beyond the radius. A large group is cut into tiles whose pairs are
 separate tasks, so no task holds an unbounded group. Each group gives the links
 of a spanning forest, not its pairs; connected components join the forests.
 
-Two kinds of keys: `blocks` cut the fingerprint into radius + 1 blocks of bits,
-one of which must agree (exact for every pair within the radius); `sketch` uses
+Two kinds of keys: `blocks` cut the fingerprint into more blocks of bits than
+the radius, and any linked pair agrees in all but `radius` of them: with one
+block more than the radius in one, with more blocks in several at once, whose
+longer keys make smaller groups (exact for every pair either way). The number
+of blocks follows the number of fingerprints. `sketch` uses
 bands of minimum hashes of the shingles, for wide fingerprints whose radius is
 too large for blocks. With `sketch` the radius only forms clusters: inside each
 the documents are linked by the exact Jaccard similarity of their shingle sets.
@@ -18,18 +21,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_list, key_frame, map_batches, may_be_among, ranges, segment_starts, stored
+from .common import bytes_list, free_names, key_frame, map_batches, may_be_among, ranges, segment_starts, stored
 
 SEED = 42
 TILE = 1024
+#: Fingerprints that a block key should have on average, at most; most blocks beyond the radius.
+GROUP, MOST_MORE = 64, 4
 FOREST_LINKS = 1 << 18
+#: Links of one node that go to one task, at least; with more links in all, so many that at most MOST_HUBS nodes have more.
+HUB, MOST_HUBS = 256, 20_000
+#: Most rows that are sent to all executors to find the documents that go or are compared; more are joined as Spark chooses.
+MOST_SENT = 1 << 18
 BANDS, BAND_ROWS = 16, 4
 #: Most rows and bytes of text in a tile of documents whose shingle sets are compared.
 SET_ROWS, SET_BYTES = 256, 8 << 20
@@ -88,12 +98,14 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.nd
 
 
 def fingerprint_rows(df: DataFrame, key: str, text: str, words: int, lanes: int, sketch: bool) -> DataFrame:
-    """k, fp (binary, 8 bytes a lane), and with sketch the band keys and a digest s of the shingle set, for every row; null text counts as empty.
+    """k, fp (binary, 8 bytes a lane), and with sketch the text's hashes, the band keys and a digest s of the shingle set, for every row; null text counts as empty.
 
     With sketch, repeated shingles count once.
     """
-    frame = key_frame(df, key, text)
-    kind = frame.schema[key].dataType.simpleString()
+    frame = key_frame(df, key, text).toDF("k", "text")
+    kind = frame.schema["k"].dataType.simpleString()
+    if sketch:
+        frame = frame.withColumns(text_hashes("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps, bands, digests = [], [], []
@@ -109,10 +121,16 @@ def fingerprint_rows(df: DataFrame, key: str, text: str, words: int, lanes: int,
         if sketch:
             flat = np.concatenate(bands)
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat)))
-            columns.append(pa.array(digests, pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, ["k", "fp", "bands", "s"][: len(columns)])
+            columns += [pa.array(digests, pa.binary()), batch.column(2), batch.column(3)]
+        return pa.RecordBatch.from_arrays(columns, ["k", "fp", "bands", "s", "h1", "h2"][: len(columns)])
+
+    return map_batches(frame, f"k {kind}, fp binary" + ", bands array<long>, s binary, h1 long, h2 long" * sketch, run)
+
 
-    return map_batches(frame, f"k {kind}, fp binary" + ", bands array<long>, s binary" * sketch, run)
+def text_hashes(text: str) -> dict[str, Column]:
+    """Two hashes that, with the key, tell documents apart; null text counts as empty."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return {"h1": F.xxhash64(body), "h2": F.xxhash64(F.lit(1), body)}
 
 
 def block_bounds(bits: int, blocks: int) -> list[tuple[int, int]]:
@@ -121,6 +139,26 @@ def block_bounds(bits: int, blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def blocks_for(rows: int, radius: int, bits: int = 64) -> int:
+    """How many blocks: the fewest, beyond the radius, that leave GROUP of so many fingerprints with one key on average."""
+    most = min(radius + MOST_MORE, bits)
+    return next((n for n in range(radius + 1, most) if rows >> (bits * (n - radius) // n) <= GROUP), max(most, radius + 1))
+
+
+def block_keys(number: Column, bits: int, blocks: int, radius: int) -> list[Column]:
+    """A key for each choice of blocks - radius blocks: their bits, and the choice's place."""
+    bounds = block_bounds(bits, blocks)
+    choices = list(combinations(bounds, blocks - radius))
+    out = []
+    for place, choice in enumerate(choices):
+        key, at = F.lit(0).cast("long"), 0
+        for shift, width in choice:
+            key = key + F.shiftleft(F.shiftrightunsigned(number, shift).bitwiseAND(F.lit((1 << width) - 1)), at)
+            at += width
+        out.append(F.xxhash64(key, F.lit(place)) if at > 56 else key * len(choices) + place)
+    return out
+
+
 def _hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Joins the trees of a[i] and b[i] in place; a root is its tree's least member."""
     while True:
@@ -250,15 +288,14 @@ def _compare(radius: int, lanes: int):
     return _whole_groups(part)
 
 
-def candidate_links(reps: DataFrame, radius: int, lanes: int, sketch: bool, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between representatives (k, fp[, bands]), a forest for each group."""
+def candidate_links(reps: DataFrame, radius: int, lanes: int, sketch: bool, tile: int = TILE, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) between representatives (k, fp[, bands]), a forest for each group; blocks: their number, else by the number of rows."""
     if sketch:
         keyed = reps.select("k", "fp", F.explode("bands").alias("g"))
     else:
         number = F.conv(F.hex("fp"), 16, -10).cast("long")  # 8 bytes as a signed long
-        blocks = block_bounds(64 * lanes, radius + 1)
-        codes = [F.shiftrightunsigned(number, s).bitwiseAND(F.lit((1 << w) - 1)) * len(blocks) + i for i, (s, w) in enumerate(blocks)]
-        keyed = reps.select("k", "fp", F.explode(F.array(*codes)).alias("g"))
+        blocks = blocks or blocks_for(reps.count(), radius)
+        keyed = reps.select("k", "fp", F.explode(F.array(*block_keys(number, 64 * lanes, blocks, radius))).alias("g"))
     keyed = stored(keyed, "keyed")
     # groups over a tile are cut into tiles by hash; each pair of tiles is a group of its own
     large = keyed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("g", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
@@ -303,6 +340,21 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def _with_least(edges: DataFrame, by: str, of: str, count: int) -> DataFrame:
+    """edges, each with m: the least `of` of all edges with the same `by`.
+
+    The edges of a node with many are dealt to several tasks, and its least
+    goes to each of them.
+    """
+    least = edges.groupBy(by).agg(F.min(of).alias("m"), F.count("*").alias("n"))
+    limit = max(HUB, -(-count // MOST_HUBS))
+    least = least.withColumn("pieces", F.ceil(F.col("n") / limit).cast("int"))
+    hubs = least.where("pieces > 1").select(by, "pieces")  # at most MOST_HUBS
+    salted = edges.join(F.broadcast(hubs), by, "left").withColumn("salt", F.pmod(F.xxhash64(of), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+    spread = least.select(by, "m", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"))
+    return salted.join(spread, [by, "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (its least reachable id) for every id in links (a, b), by alternating large- and small-star steps.
 
@@ -319,14 +371,13 @@ def components(links: DataFrame) -> DataFrame:
         if now == sign or not now[0]:
             break
         sign = now
+        # large star: each node's larger neighbours go to the least of it and all its neighbours
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = _with_least(both, "a", "b", 2 * now[0]).where(F.col("b") > F.col("a")).select(F.least("a", "m").alias("a"), "b").distinct()
         # small star: each b's smaller neighbours, and b itself, go to the least of them
         large = stored(large, "large")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = stored(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "links")
+        small = _with_least(large, "b", "a", now[0])
+        edges = stored(small.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct(), "links")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
@@ -368,18 +419,29 @@ def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np
     return parent[child], child
 
 
-def verified_links(df: DataFrame, clusters: DataFrame, key: str, text: str, words: int, similarity: float, rows: int = SET_ROWS) -> DataFrame:
-    """Links (a, b) between documents of one cluster (id, component) whose shingle sets have at least this Jaccard similarity.
+def sent(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to all executors if it has at most MOST_SENT rows (of a few numbers)."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
 
-    A cluster over a tile is cut into tiles by hash, and each pair of tiles is
-    a task's group, so that every pair of a cluster meets; each group gives the
-    links of a spanning forest.
+
+def verified_links(df: DataFrame, clusters: DataFrame, names: DataFrame, key: str, text: str, words: int, similarity: float, rows: int = SET_ROWS) -> DataFrame:
+    """Links (a, b) between nodes of one cluster (id, component) whose shingle sets have at least this Jaccard similarity.
+
+    names (node, k, h1, h2) gives a document for each node. A cluster over a
+    tile is cut into tiles by hash, and each pair of tiles is a task's group, so
+    that every pair of a cluster meets; each group gives the links of a spanning
+    forest.
     """
-    members = clusters.select(F.col("id").alias("k"), F.col("component").alias("c"))
-    members = stored(members.unionByName(clusters.select(F.col("component").alias("k"), F.col("component").alias("c")).distinct()), "members")
-    docs = key_frame(df, key, text).toDF("k", "text").where(F.col("k").isNotNull())
-    docs = may_be_among(docs, "k", members).join(members, "k").groupBy("k", "c").agg(F.collect_set("text").alias("texts"))  # a key's repeated rows count once
-    docs = stored(docs.select("k", F.xxhash64("c").alias("g"), F.explode("texts").alias("text")), "clustered")
+    members = clusters.select(F.col("id").alias("node"), F.col("component").alias("c"))
+    members = members.unionByName(clusters.select(F.col("component").alias("node"), F.col("component").alias("c")).distinct())
+    mark = F.xxhash64("k", "h1", "h2").alias("mark")
+    members = stored(members.join(names.select("node", "k", "h1", "h2"), "node").select("node", "c", F.col("k").alias("mk"), "h1", "h2", mark), "members")
+    docs = key_frame(df, key, text).toDF("k", "text").withColumns(text_hashes("text")).select("k", "h1", "h2", mark, "text")
+    docs = may_be_among(docs, "mark", members)
+    to = sent(members.drop("mark"))
+    docs = docs.join(to, (docs["h1"] == to["h1"]) & (docs["h2"] == to["h2"]) & docs["k"].eqNullSafe(to["mk"])).select("node", "c", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.groupBy("node", "c").agg(F.first("text").alias("text"))  # repeated rows count once
+    docs = stored(docs.select(F.col("node").alias("k"), F.xxhash64("c").alias("g"), "text"), "clustered")
     tiles = F.ceil(F.greatest(F.count("*") / rows, F.sum(F.octet_length("text")) / SET_BYTES)).cast("int")
     large = docs.groupBy("g").agg(tiles.alias("tiles")).where("tiles > 1")  # at most one row for each tile of the input
     dealt = docs.join(F.broadcast(large), "g", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
@@ -404,46 +466,84 @@ def verified_links(df: DataFrame, clusters: DataFrame, key: str, text: str, word
     return spread.mapInArrow(_whole_groups(part), f"a {kind}, b {kind}")
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1, radius: int = 4, sketch: bool = False, similarity: float = 0.8) -> DataFrame:
+def _nodes(df: DataFrame, key: str, text: str, words: int, lanes: int, radius: int, sketch: bool, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows; and for each distinct fingerprint (or shingle set) its least key, its node and the least node it reaches (c)."""
+    rows = stored(fingerprint_rows(df, key, text, words, lanes, sketch), "fingerprints")
+    if sketch:
+        first = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h1", "h2")).alias("d")
+        reps = rows.groupBy("s").agg(first, F.min("fp").alias("fp"), F.min("bands").alias("bands")).select("s", "d.k", "d.h1", "d.h2", "fp", "bands")
+    else:
+        reps = rows.groupBy("fp").agg(F.min("k").alias("k"))
+    reps = stored(reps.withColumn("node", F.monotonically_increasing_id()), "reps")  # once written, a node keeps its number
+    found = components(candidate_links(reps.drop("k").withColumnRenamed("node", "k"), radius, lanes, sketch))
+    if sketch:
+        found = components(verified_links(df, found, reps, key, text, words, similarity))
+    labels = reps.join(found.withColumnRenamed("id", "node"), "node", "left").select("s" if sketch else "fp", "k", "node", F.coalesce("component", "node").alias("c"))
+    return rows, stored(labels, "labels")
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """k, fp (binary), component for every row: the least key reachable over links of at most radius bits.
 
     Rows with equal fingerprints link. Null text and text without a word have
     the zero fingerprint and link like any other. Rows that repeat a key are
-    one document. A row with a null key takes the component of its fingerprint,
-    null if no other row has that fingerprint. An empty table gives an empty result; extra columns
-    are not read. Copies are never expanded into pairs: one row for each
-    distinct fingerprint is compared. With sketch, links are pairs whose
-    shingle sets have at least the Jaccard similarity given; the radius only
-    chooses which pairs are compared, and rows with equal sets are copies.
+    documents of their own: each has the component of its own text. Rows with a
+    null key link like others, and their component is null only if no row with
+    a key is in it. An empty table gives an empty result; extra columns are not
+    read. Copies are never expanded into pairs: one row for each distinct
+    fingerprint is compared.
     """
-    if not sketch and (lanes != 1 or not 0 <= radius < 64):
-        raise ValueError("blocks need one lane and a radius below 64")
-    rows = stored(fingerprint_rows(df, key, text, words, lanes, sketch), "fingerprints")
-    same = "s" if sketch else "fp"
-    chosen = [F.min("k").alias("k")] + [F.min("fp").alias("fp"), F.min("bands").alias("bands")] * sketch
-    reps = rows.groupBy(same).agg(*chosen)
-    reps = stored(reps, "reps")
-    found = components(candidate_links(reps.where(F.col("k").isNotNull()), radius, lanes, sketch))
-    if sketch:
-        found = components(verified_links(df, found, key, text, words, similarity))
-    labels = stored(reps.select(same, "k").join(found.withColumnRenamed("id", "k"), "k", "left").select(same, F.coalesce("component", "k").alias("component")), "labels")
+    if not 0 <= radius < 64:
+        raise ValueError("the radius must be from 0 to 63")
+    rows, labels = _nodes(df, key, text, words, 1, radius, False, 0.0)
+    lowest = labels.groupBy("c").agg(F.min("k").alias("component"))
+    named = stored(labels.join(lowest, "c").select("fp", "component"), "named")
     # copies of one text may hold a third of all rows: Spark splits the large side of this join
-    return rows.select("k", "fp", *([same] * sketch)).join(labels, same).select("k", "fp", "component")
+    return rows.select("k", "fp").join(named, "fp").select("k", "fp", "component")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = 8) -> DataFrame:
     """The rows of df without near copies: of each group the document with the least key stays, with all its columns.
 
+    Links are pairs of documents whose sets of shingles have at least the
+    Jaccard similarity given, confirmed exactly; groups are what links reach.
     Fingerprints have 64 * lanes bits. Two texts whose shingle sets have the
-    Jaccard similarity s differ in a share acos(2s / (1 + s)) / pi of the bits
-    on average, and at s = 0.8 in at most 3/16 where sets are small (4 of 5
+    similarity s differ in a share acos(2s / (1 + s)) / pi of the bits on
+    average, and at s = 0.8 in at most 3/16 where sets are small (4 of 5
     shingles). The radius is the larger share plus four standard deviations: it
-    leaves out pairs that cannot be near, and `similarity` itself is checked
-    exactly. Rows with a null key are kept.
+    only leaves out pairs that cannot be near.
+
+    A document is a row, whatever its key: rows of one key with unlike texts
+    all stay; of rows with equal key and text one stays, any of them. Null keys
+    come last, so a document with a key stays before one without. Among equal
+    keys the text with the least hash stays. Texts without a word are copies of
+    each other. An empty table gives an empty result; columns of any name pass.
     """
     share = max(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 3 / 16)
     bits = 64 * lanes
     radius = int(np.ceil(bits * share + 4 * (bits * share * (1 - share)) ** 0.5))
-    groups = near_groups(df, key, text, words, lanes, radius, sketch=True, similarity=similarity)
-    lost = groups.where(F.col("k").isNotNull() & (F.col("k") != F.col("component"))).select(F.col("k").alias(key)).distinct()
-    return df.join(lost, key, "left_anti").select(*(f"`{c}`" for c in df.columns))
+    rows, labels = _nodes(df, key, text, words, lanes, radius, True, similarity)
+    # copies of one text may hold a third of all rows, but few are left after the first step of the count
+    known = stored(rows.select("k", "h1", "h2", "s").join(labels.select("s", "c"), "s").groupBy("c", "k", "h1", "h2").agg(F.count("*").alias("n")), "known")
+    order = F.struct(F.col("k").isNull().alias("none"), "k", "h1", "h2")
+    best = known.groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("documents")).where("documents > 1").select("c", "best")
+    lost = stored(known.join(best, "c").where(~order.eqNullSafe(F.col("best"))).select("k", "h1", "h2"), "lost")
+    own = free_names(df, 4)
+    numbered = df.withColumns(dict(zip(own, text_hashes(text).values())))
+
+    def named(x: DataFrame) -> DataFrame:
+        return x.select(F.col("h1").alias(own[2]), F.col("h2").alias(own[3]), F.col("k").alias("k"))
+
+    def same(x: DataFrame) -> Column:
+        return (numbered[own[0]] == x[own[2]]) & (numbered[own[1]] == x[own[3]]) & numbered[f"`{key}`"].eqNullSafe(x["k"])
+
+    gone = sent(named(lost))
+    numbered = numbered.join(gone, same(gone), "left_anti")
+    # of rows that repeat a key and its text, one
+    again = known.where("n > 1").select("k", "h1", "h2")
+    if again.isEmpty():
+        return numbered.select(*(F.col(f"`{c}`") for c in df.columns))
+    more = sent(named(again))
+    once = numbered.join(more, same(more), "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    every = numbered.join(more, same(more), "left_semi").groupBy(F.col(f"`{key}`"), *own[:2]).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias(own[2]))
+    return once.unionByName(every.select(*(F.col(own[2])[c].alias(c) for c in df.columns)))
