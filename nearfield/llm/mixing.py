@@ -6,21 +6,27 @@ once more with the fractional probability; the cube method fixes those draws:
 it moves the vector of probabilities through the null space of the balancing
 constraints (tokens and documents of the source) until at most as many
 fractions remain as there are constraints. Blocks of documents fly in
-parallel; what they leave over flies again in ever fewer blocks. The last few
-fractions, with a few documents held back, land where the tokens come nearest.
+parallel; what they leave over flies again in ever fewer blocks. A few
+documents of each source are held back from flight; they land together with the
+last fractions, all subsets of a fitting count compared, where the tokens come
+nearest.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_frame, stored
+from .common import free_names, key_frame, stored
 
 WEIGHTS = (3, 1, 2)
-BLOCK, SPARE = 4096, 64
+#: SPARE + 2 fractions land at most: their subsets are compared at once.
+BLOCK, SPARE = 4096, 14
+#: Most sources, whose sizes come to the driver and whose targets go to all executors.
+MOST_SOURCES = 1 << 20
 _NEAR = 1e-9
 
 
@@ -82,68 +88,100 @@ def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def land(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
+def land(prob: np.ndarray, size: np.ndarray, most: int = SPARE + 2) -> np.ndarray:
     """Landing: the 0/1 design of the last fractions whose sizes come nearest to what they stand for.
 
-    The largest two are tried all ways; the others, from the largest down, are
-    taken while that brings the sum nearer.
+    All subsets are compared. One with about as many documents as the fractions
+    stand for (less than two off) is taken if it misses their sizes by no more
+    than half the smallest, else the nearest of all. Of more than `most` fractions the smallest are compared so; the others, from the
+    largest down, are taken while that brings the sum nearer.
     """
     p = prob.copy()
     rest = np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))
     rest = rest[np.argsort(-size[rest], kind="stable")]
-    goal = float((size[rest] * p[rest]).sum())
-    best: tuple[float, np.ndarray] | None = None
-    for code in range(1 << min(2, len(rest))):
-        pick, left = np.zeros(len(rest)), goal
-        for i, s in enumerate(size[rest].tolist()):
-            if (code >> i & 1) if i < 2 else left >= s / 2:
-                pick[i] = 1
-                left -= s
-        if best is None or abs(left) < best[0]:
-            best = abs(left), pick
-    if best is not None:
-        p[rest] = best[1]
+    goal, count = float((size[rest] * p[rest]).sum()), float(p[rest].sum())
+    for i in rest[: max(0, len(rest) - most)].tolist():
+        p[i] = float(goal >= size[i] / 2)
+        goal, count = goal - p[i] * size[i], count - p[i]
+    rest = rest[max(0, len(rest) - most) :]
+    sums, counts = np.zeros(1), np.zeros(1)
+    for x in size[rest].tolist():  # the subset of number c has the i-th where bit i of c is set
+        sums, counts = np.concatenate((sums, sums + x)), np.concatenate((counts, counts + 1))
+    gap = np.abs(sums - goal)
+    fit = np.where(np.abs(counts - count) < 2, gap, np.inf)
+    if len(rest) and fit.min() <= size[rest].min() / 2:
+        gap = fit
+    pick = int(np.lexsort((np.abs(counts - count), gap))[0])
+    p[rest] = pick >> np.arange(len(rest)) & 1
     return np.round(p)
 
 
-def _seed(*parts) -> int:
-    return int(pd.util.hash_array(np.array(["|".join(map(str, parts))], dtype=object))[0] & 0x7FFFFFFF)
-
-
 def _flight(seed: int, level: int, last: bool):
     """One block's flight, and its landing where no other block is left."""
 
-    def flight(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "size"], kind="stable").reset_index(drop=True)
-        rng = np.random.default_rng(_seed(seed, level, pdf["s"].iloc[0], pdf["block"].iloc[0]))
-        p, size = pdf["p"].to_numpy().copy(), pdf["size"].to_numpy(float)
+    def flight(block: pa.Table) -> pa.Table:
+        block = block.take(pa.array(np.lexsort((block.column("size").to_numpy(), block.column("order").to_numpy()))))
+        number = block.column("block")[0].as_py()
+        rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{level}|{number}|{block.column('s')[0].as_py()}", seed))
+        p, size = block.column("p").to_numpy().copy(), block.column("size").to_numpy().astype(float)
         # a few of the first block's documents do not fly: the landing closes the last gap with them
         spare = np.zeros(len(p), bool)
-        if pdf["block"].iloc[0] == 0:
-            spare[np.argsort(pdf["order"].to_numpy(), kind="stable")[: min(SPARE, max(2, len(p) // 8))]] = True
+        if number == 0:
+            spare[np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))[:SPARE]] = True
         p[~spare] = fly(p[~spare], size[~spare], rng)
-        pdf["p"] = land(p, size) if last else p
-        return pdf[["k", "s", "size", "p", "source_size", "target", "sure", "blocks", "order"]]
+        at = block.schema.get_field_index("p")
+        return block.set_column(at, "p", pa.array(land(p, size) if last else p)).drop_columns(["block"])
 
     return flight
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block: int = BLOCK, seed: int = 17) -> DataFrame:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (s, k, size, part, row) with `same`: a number of its own for each row among those of equal source, key and size.
+
+    Such rows may be a third of all; they are numbered inside parts, after the
+    rows of the parts before, and only they are.
+    """
+    own = ["s", "k", "size"]
+    parts = stored(rows.groupBy(*own, "part").agg(F.count("*").alias("n")), "parts")
+    repeated = stored(parts.groupBy(*own).agg(F.sum("n").alias("n")).where("n > 1").select(*own), "repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("same", F.lit(0).cast("long"))
+
+    def equal(a: DataFrame, b: DataFrame):
+        return a["s"].eqNullSafe(b["s"]) & a["k"].eqNullSafe(b["k"]) & (a["size"] == b["size"])
+
+    before = Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part at most
+    first = parts.select(*own, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).where("first > 0")
+    inside = Window.partitionBy(*own, "part").orderBy("row")
+    several = rows.join(repeated, equal(rows, repeated), "left_semi").withColumn("inside", F.row_number().over(inside) - 1)
+    numbered = several.join(first, equal(several, first) & (several["part"] == first["part"]), "left")
+    numbered = numbered.select(*(several[c] for c in rows.columns), (F.coalesce(first["first"], F.lit(0)) + several["inside"]).cast("long").alias("same"))
+    return rows.join(repeated, equal(rows, repeated), "left_anti").withColumn("same", F.lit(0).cast("long")).unionByName(numbered)
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, block: int = BLOCK, seed: int = 17, row: str | None = None) -> DataFrame:
     """key, size, source, source_size, target, copies, taken for every row; size counts words, taken is copies times size.
 
     Sources are ordered by code point, null last, and take the weights in turn.
     Null text has no words, and a document without words is taken by the same
     draws though it adds nothing. Blocks and draws depend on keys, sizes and
-    the seed alone, so reruns agree; rows with equal key and size are
-    interchangeable. An empty table gives an empty result; extra columns are
-    not read. Sources are few (their names come to the driver); one source may
-    hold most rows, as blocks of at most about `block` rows fly by themselves.
+    the seed alone, so reruns agree; rows with equal key, size and source are
+    interchangeable, and each draws for itself. An empty table gives an empty
+    result; extra columns are not read, but for `row`, which is passed on (it
+    tells rows apart). More than MOST_SOURCES sources are refused; one source
+    may hold most rows, as blocks of at most about `block` rows fly by
+    themselves. A source of SPARE + 2 documents or fewer lands without flight.
     """
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
-    frame = key_frame(df, *dict.fromkeys((key, source, text))).select(F.col(key).alias("k"), F.col(source).alias("s"), words.alias("size"))
-    rows = stored(frame, "sizes")
+    words = F.size(F.array_remove(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+    given = (F.col(f"`{row}`") if row else F.lit(0)).cast("long")
+    frame = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{source}`").alias("s"), words.alias("size"), given.alias("given"))
+    rows = stored(frame.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "sizes")
+    rows = _numbered(rows if row is None else rows.withColumn("row", F.col("given"))).drop("part", "given")
     spark = df.sparkSession
-    sums = [(r[0], r[1], r[2]) for r in rows.groupBy("s").agg(F.sum("size"), F.count("*")).collect()]
+    per_source = rows.groupBy("s").agg(F.sum("size"), F.count("*"))
+    sums = [(r[0], r[1], r[2]) for r in per_source.limit(MOST_SOURCES + 1).collect()]
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     sums.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-8") if isinstance(r[0] or "", str) else r[0]))  # bytes of UTF-8 sort by code point
     sizes = {r[0]: r[1] for r in sums}
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], share, cap)
@@ -152,14 +190,13 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     table = spark.createDataFrame(plan, f"s {kind}, source_size long, target double, blocks long, rate double")
     rows = rows.join(F.broadcast(table), rows["s"].eqNullSafe(table["s"])).drop(table["s"])  # a row for each source
     rows = rows.withColumn("sure", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("sure"))
-    # a number of its own for each row among equal keys, so that draws can be repeated
-    salt = F.xxhash64(F.lit(seed), "k", "size")
+    salt = F.xxhash64(F.lit(seed), "k", "size", "same")
     rows = rows.withColumn("block", F.pmod(salt, F.col("blocks"))).withColumn("order", salt)
-    schema = "k {0}, s {1}, size long, p double, source_size long, target double, sure long, blocks long, `order` long".format(frame.schema["k"].dataType.simpleString(), kind)
-    state = rows.select("k", "s", "size", "p", "source_size", "target", "sure", "blocks", "block", "order")
+    schema = "k {0}, s {1}, size long, p double, source_size long, target double, sure long, `order` long, row long".format(frame.schema["k"].dataType.simpleString(), kind)
+    state = rows.select("k", "s", "size", "p", "source_size", "target", "sure", "order", "row", "block")
     done, level, most = [], 0, 0
     while True:
-        flown = stored(state.groupBy("s", "block").applyInPandas(_flight(seed, level, most == 1), schema), "flown")
+        flown = stored(state.groupBy("s", "block").applyInArrow(_flight(seed, level, most == 1), schema), "flown")
         fraction = (F.col("p") > _NEAR) & (F.col("p") < 1 - _NEAR)
         done.append(flown.where(~fraction))
         left = flown.where(fraction)
@@ -169,9 +206,23 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         # at most two are left of each block; they fly on in blocks as large as before, and land when one block holds all
         most = -(-counts // block)
         level += 1
-        state = left.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "k", "size"), F.lit(most)))
+        state = left.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "order"), F.lit(most)))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     copies = (F.col("sure") + F.round("p").cast("long")).alias("copies")
-    return out.select(F.col("k").alias(key), "size", F.col("s").alias(source), "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    passed = [F.col("row").alias(row)] if row else []
+    return out.select(F.col("k").alias(key), "size", F.col("s").alias(source), "source_size", "target", copies, *passed).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of df, with all their columns, as often as the mix takes each: not at all, once or twice.
+
+    Rows are told apart by a number that is stored with them, so repeated and
+    null keys do no harm; columns of any name pass. Otherwise as mix.
+    """
+    number, copies, again, to = free_names(df, 4)
+    rows = stored(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    taken = mix(rows, key, text, source, row=number, **how).where("copies > 0").select(F.col(number).alias(to), F.col("copies").alias(copies))
+    out = rows.join(taken, rows[number] == taken[to]).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns))
