@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_list, held_out, key_frame, map_batches, ranges
-from .rules import labelled_sample
+from .rules import labelled_rows
 
 BLOCK, PARTS = 4, 3
 PAD = 256
@@ -151,11 +151,18 @@ class ByteNet:
 
 
 def fit_net(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_labelled: int = 2000, longest: int = 20_000, train_keys: Callable | None = None) -> ByteNet:
-    """Trains on at most most_labelled labelled texts of at most `longest` characters, of keys that train_keys admits."""
-    keep = train_keys(key) if train_keys else None
-    sample = labelled_sample(df, labels, label, most_labelled, key, text, keep, longest)
-    texts = [t.encode("utf-8", "replace") for t, _ in sample]
-    return ByteNet.new().train(texts, np.array([m for _, m in sample], np.float32))
+    """Trains on at most most_labelled labelled texts of keys that train_keys admits.
+
+    A text of over `longest` characters teaches by an excerpt of that length,
+    from a place that its key's hash chooses, which bounds what comes to the
+    driver.
+    """
+    found = labelled_rows(df, labels, label, most_labelled, key, text, train_keys)
+    room = F.greatest(F.length("text") - longest, F.lit(0)) + 1
+    excerpt = F.col("text").substr((F.pmod("place", room.cast("long")) + 1).cast("int"), F.lit(longest))
+    sample = found.select("place", excerpt.alias("text"), "mark").orderBy("place", "text", "mark").limit(most_labelled).collect()
+    texts = [r["text"].encode("utf-8", "replace") for r in sample]
+    return ByteNet.new().train(texts, np.array([r["mark"] for r in sample], np.float32))
 
 
 def not_held_out(key: str):
