@@ -2,8 +2,9 @@
 
 The table holds one entry for each rule ``host + path``: its XXH64 in a sorted
 array, its verdict, and the full string that confirms a hit. A url is probed
-with every host suffix and every path prefix of a length that some rule has,
-all of them in one vectorised binary search for each batch.
+with the host suffixes and path prefixes whose lengths some rule has, all of
+them in one vectorised binary search for each batch; so a url's probes are
+bounded by the rules, however long its host.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import key_frame, map_batches, put_file
 
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 VERDICTS = ("allow", "block")
-MAGIC = b"NFURL001"
+MAGIC = b"NFURL002"
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def pack(rules: list[Rule]) -> bytes:
-    """The table's file: magic, count, path lengths, sorted keys, string offsets, verdicts, strings."""
+    """The table's file: magic, counts, lengths of host and path, sorted keys, string offsets, verdicts, strings."""
     seen: dict[str, Rule] = {}
     for r in rules:
         if r.verdict not in VERDICTS:
@@ -56,7 +57,7 @@ def pack(rules: list[Rule]) -> bytes:
         if seen.setdefault(r.text(), r).verdict != r.verdict:
             raise ValueError(f"two verdicts for {r.text()!r}")
     found = sorted((xxhash.xxh64_intdigest(t.encode()), t.encode(), VERDICTS.index(r.verdict)) for t, r in seen.items())
-    lengths = sorted({len(r.path) for r in seen.values()})
+    lengths = sorted({(len(r.host), len(r.path)) for r in seen.values()})
     offsets = np.cumsum([0, *(len(t) for _, t, _ in found)])
     parts = [
         MAGIC,
@@ -78,8 +79,11 @@ class DigestTable:
             raise ValueError("not a digest table")
         n, m = (int(x) for x in np.frombuffer(buffer, "<u8", 2, 8))
         at = 24
-        self.path_lengths = np.frombuffer(buffer, "<u8", m, at).tolist()
-        at += 8 * m
+        self.lengths: dict[int, list[int]] = {}  # of paths, by length of host
+        for host, path in np.frombuffer(buffer, "<u8", 2 * m, at).reshape(-1, 2).tolist():
+            self.lengths.setdefault(host, []).append(path)
+        self.longest = max(self.lengths, default=0)
+        at += 16 * m
         self.keys = np.frombuffer(buffer, "<u8", n, at)
         at += 8 * n
         self.offsets = np.frombuffer(buffer, "<u8", n + 1, at)
@@ -101,11 +105,13 @@ class DigestTable:
         owner: list[int] = []
         probes: list[bytes] = []
         for i, (host, path) in enumerate(zip(hosts, paths)):
-            at = 0
-            heads = [path[:n] for n in self.path_lengths if n <= len(path)]
+            at = max(0, len(host) - self.longest - 1)  # no rule's host begins further left
+            if at:
+                at = host.find(".", at) + 1 or -1
             while at >= 0 and host:
-                probes += [(host[at:] + head).encode() for head in heads]
-                owner += [i] * len(heads)
+                found = [n for n in self.lengths.get(len(host) - at, ()) if n <= len(path)]
+                probes += [(host[at:] + path[:n]).encode() for n in found]
+                owner += [i] * len(found)
                 at = host.find(".", at) + 1 or -1
         best = [-1] * len(hosts)
         if not probes or not len(self.keys):
