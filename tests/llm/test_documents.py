@@ -1,20 +1,41 @@
 import hashlib
+import itertools
+import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from nearfield.llm import mixing, queries, sharding, simhash, urls, winnow
 
 
-def kept_grams(text, k, w):
+def gram_hash(codes):
+    """A polynomial in the inverse of the golden-ratio multiplier over code points plus one, mixed, upper half."""
+    word = (1 << 64) - 1
+    inverse = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    h = sum((c + 1) * pow(inverse, j, 1 << 64) for j, c in enumerate(codes)) & word
+    h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & word
+    h = (h ^ h >> 29) * 0xA0761D6478BD642F & word
+    return h >> 32
+
+
+def edited(text, following):
+    return text[: len(text) - len(text) // 4] + following[: len(text) // 4]
+
+
+def kept_grams(text, k, w, hashes=None):
     """Winnowing by the book: positions of the rightmost least gram of each window."""
     if not text:
         return set()
     n = max(1, len(text) - k + 1)
-    h = winnow._gram_hashes(np.frombuffer(text.ljust(k, "\U0010ffff").encode("utf-32-le"), np.uint32), k)[:n].tolist()
+    codes = [*map(ord, text), *[0x110000] * (k - len(text))]
+    h = [gram_hash(codes[i : i + k]) for i in range(n)]
+    if hashes is not None:
+        hashes += h
     return {min(range(a, min(a + w, n)), key=lambda i: (h[i], -i)) for a in range(max(1, n - w + 1))}
 
 
@@ -23,8 +44,9 @@ def test_winnowing():
     texts = ["", "ab", "abcdefgh", "a" * 300, *("".join(rng.choice(list("abé "), int(rng.integers(17, 400)))) for _ in range(40))]
     h, p, s = winnow.fingerprints(texts)
     for i, t in enumerate(texts):
-        if len(t) >= winnow.GRAM or not t:
-            assert p[s[i] : s[i + 1]].tolist() == sorted(kept_grams(t, winnow.GRAM, winnow.WINDOW))
+        hashes = []
+        want = sorted(kept_grams(t, winnow.GRAM, winnow.WINDOW, hashes))
+        assert p[s[i] : s[i + 1]].tolist() == want and h[s[i] : s[i + 1]].tolist() == [hashes[j] for j in want]
     passage = "".join(rng.choice(list("abcdefgh "), winnow.GRAM + winnow.WINDOW - 1))
     a, b = "q" * 77 + passage + "z" * 50, "y" * 13 + passage + "x" * 99
     h, p, s = winnow.fingerprints([a, b])
@@ -37,7 +59,7 @@ def test_op3_on_whole_table(spark, sf, documents):
     assert len(got) == len(docs)
     prints = {}
     for (i, t), (_, following) in zip(docs, docs[1:] + docs[:1]):
-        r, new = got[i], winnow.edited(t, following)
+        r, new = got[i], edited(t, following)
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
         a, b, c = (winnow.fingerprints([x]) for x in (t, new, following))
         assert [r["fingerprint"], r["edited_fingerprint"]] == [winnow.to_hex(a)[0], winnow.to_hex(b)[0]]
@@ -75,6 +97,20 @@ def test_odd_urls(spark):
         urls.pack([urls.Rule("block", "a"), urls.Rule("allow", "a")])
 
 
+def test_long_hosts_cost_no_more(spark):
+    """Probes are bounded by the rules; long hosts match as short ones do."""
+    table = urls.DigestTable(urls.pack(queries.URL_RULES + [urls.Rule("block", "a.b.c.d.example", "/x")]))
+    deep = "a." * 100_000
+    hosts = [deep + "net", deep + "example.net", deep + "xnet", deep + "a.b.c.d.example", "x" * 200_000 + ".org", "." * 50_000 + "net", deep, "example.net"]
+    paths = ["/1", "/en/" + "y" * 100_000, "/", "/x", "/fr/", "/", "/", "/de/"]
+    began = time.process_time()
+    got = [table.string(i).decode() if i >= 0 else None for i in table.match(hosts, paths)]
+    assert got == ["net/", "example.net/en/", None, "a.b.c.d.example/x", "org/fr/", "net/", None, "net/"]
+    assert time.process_time() - began < 0.5
+    pages = spark.createDataFrame([(1, "http://" + deep + "EXAMPLE.net/en/?q")], "page_id long, url string")
+    assert urls.filter_urls(spark, pages, queries.URL_RULES).first()["rule"] == "example.net/en/"
+
+
 def test_equal_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda _: 7)
     table = urls.DigestTable(urls.pack([urls.Rule("block", "net", "/"), urls.Rule("allow", "org", "/fr/")]))
@@ -111,8 +147,8 @@ def test_op5_on_whole_table(spark, sf, documents):
     assert sorted(map(tuple, queries.op5_simhash(spark, sf).collect())) == want
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_links_against_brute_force(spark, tile):
+@pytest.mark.parametrize("tile, blocks", [(4, None), (1024, 5), (1024, 6), (8, 7), (1024, 8)])
+def test_links_against_brute_force(spark, tile, blocks):
     rng = np.random.default_rng(tile)
     seeds = rng.integers(0, 2**63, 12)
     values = []
@@ -124,11 +160,61 @@ def test_links_against_brute_force(spark, tile):
             values.append(v)
     values = sorted(set(values))
     reps = spark.createDataFrame([(i, v.to_bytes(8, "big")) for i, v in enumerate(values)], "k long, fp binary")
-    links = simhash.candidate_links(reps, 4, 1, False, tile)
+    links = simhash.candidate_links(reps, 4, 1, False, tile, blocks)
     found = {r["id"]: r["component"] for r in simhash.components(links).collect()}
     assert [found.get(i, i) for i in range(len(values))] == plain_groups(values, 4)
 
 
+def test_blocks_follow_the_rows():
+    assert [simhash.blocks_for(n, 4) for n in (0, 200_000, 10_000_000, 10**9, 10**11)] == [5, 5, 6, 7, 8]
+    assert simhash.blocks_for(10**9, 0) <= 4 and simhash.blocks_for(10**9, 63) == 64
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    """A star, chains through its arms, and cells of a grid: the same components however few links a task takes."""
+    monkeypatch.setattr(simhash, "HUB", 3)
+    monkeypatch.setattr(simhash, "FOREST_LINKS", 7)
+    links = [(500, i) for i in range(501, 560)] + [(i, i + 100) for i in range(501, 530)] + [(700, 3), (3, 9), (10, 11)] + [(1000 + 10 * i + j, 1000 + 10 * (i + 1) + j) for i in range(8) for j in range(3)] + [(1000, 1001)]
+    got = {r["id"]: r["component"] for r in simhash.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    nodes = sorted({x for link in links for x in link})
+    place = {x: i for i, x in enumerate(nodes)}
+    root = list(range(len(nodes)))
+    for a, b in links:
+        low, high = sorted((root[place[a]], root[place[b]]))
+        root = [low if r == high else r for r in root]
+    assert {x: got.get(x, x) for x in nodes} == {x: nodes[root[place[x]]] for x in nodes}
+
+
+def test_op5_with_repeated_and_null_keys(spark):
+    a, b = "one text of some words that is here", "and quite another text which says something else"
+    rows = [(5, a), (9, a), (3, b), (5, b), (None, a), (None, "alone of its kind, this text has no key at all"), (5, a)]
+    got = [(r["k"], r["component"]) for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(5, 5), (9, 5), (3, 3), (5, 3), (None, 5), (None, None), (5, 5)], key=str)
+
+
+def test_one_row_of_each_text_stays(spark):
+    """Repeated keys, null keys and repeated rows: no text is lost and none stays twice; columns of any name pass."""
+    texts = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "ABCD"}
+    rows = [(5, "A"), (9, "A"), (3, "B"), (5, "B"), (None, "A"), (None, "C"), (None, "C"), (7, "D"), (7, "D"), (7, "D"), (8, None), (8, None), (2, "")]
+    rows = [(i, texts.get(c, c), n, "x", 1.0, 2) for n, (i, c) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int, h1 string, `own_0` double, `a.b` int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "-")[0]) for r in got) == [("2", "-"), ("3", "B"), ("5", "A"), ("7", "D"), ("None", "C")]
+    assert all(tuple(r) in rows for r in got)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_near_copies_at_the_limit_are_found(spark):
+    """Pairs of a similarity from 0.80 to 0.82: recall of 0.9 or more (all of them, for these)."""
+    rng = np.random.default_rng(21)
+    pairs = [jaccard_pair(rng, size, int(np.ceil(size * 8 / 9)) + more) for size in (45, 90, 180, 450) for more in (0, 1) for _ in range(10)]
+    texts = [t for pair in pairs for t in pair]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(0, len(texts), 2))
+
+
 def test_tiles_skip_nothing():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2, (300, 64)).cumsum(0) % 2
@@ -149,7 +235,7 @@ def test_op5_odd_rows(odd):
     assert by[0] == by[1] == by[2] == 0 and by[5] == 4 and by[None] is None
     assert simhash.near_groups(odd.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        simhash.near_groups(odd, lanes=2)
+        simhash.near_groups(odd, radius=64)
 
 
 def test_near_copies_leave_one(spark):
@@ -200,6 +286,70 @@ def test_op9_mix(spark, sf, documents, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def plain_words(text):
+    return len(re.findall("[^\x20\x09-\x0d]+", text or ""))
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_op9_comes_near_its_targets(spark, sf, size):
+    """Within half a percent of the target or half the smallest document, but for sources of a dozen documents or fewer."""
+    folder = sf.replace("0.001", size)
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    sizes = {r["doc_id"]: plain_words(r["text"]) for r in rows}
+    got = queries.op9_mix(spark, folder).toPandas()
+    assert dict(zip(got.doc_id, got["size"])) == sizes
+    want = mixing.targets({s: sum(sizes[r["doc_id"]] for r in rows if r["source"] == s) for s in sorted({r["source"] for r in rows})}, [(3, 1, 2)[i % 3] for i in range(len({r["source"] for r in rows}))])
+    for s, own in got.groupby("source"):
+        assert np.isclose(own.target.iloc[0], want[s]) and ((own.taken == 0) | (own["size"] <= own.taken)).all()
+        if len(own) > 12:
+            assert abs(own.taken.sum() - want[s]) <= max(0.005 * want[s], own["size"].min() / 2), s
+
+
+def test_landing_against_all_subsets():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4, 9, 12):
+        size, prob = rng.integers(0, 400, n).astype(float), rng.uniform(0.05, 0.95, n)
+        goal, count = size @ prob, prob.sum()
+        subsets = [np.array(x, float) for x in itertools.product((0, 1), repeat=n)]
+        fit = min((abs(x @ size - goal) for x in subsets if abs(x.sum() - count) < 2), default=np.inf)
+        best = fit if fit <= size.min() / 2 else min(abs(x @ size - goal) for x in subsets)
+        assert np.isclose(abs(mixing.land(prob, size) @ size - goal), best)
+    many = mixing.land(np.full(300, 0.5), rng.integers(1, 900, 300).astype(float))
+    assert set(many) <= {0.0, 1.0}
+
+
+def test_mix_of_repeated_and_null_keys(spark):
+    """Each row draws for itself, whatever its key, and equal rows do not fall into one block."""
+    rows = [(None, "some words that are repeated here", "a")] * 500 + [(7, "five words are in here", "a")] * 300 + [(i, "w " * (i % 9), "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (mixing.mix(x, block=64).toPandas() for x in (df, df.repartition(7)))
+    assert len(a) == len(rows) and a["size"].sum() == sum(plain_words(t) for _, t, _ in rows)
+    order = ["source", "size", "taken"]
+    assert a.sort_values(order)[order].reset_index(drop=True).equals(b.sort_values(order)[order].reset_index(drop=True))
+    for _, own in a.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max()
+    frame = df.withColumn("part", F.monotonically_increasing_id()).withColumn("row", F.lit(1))
+    same = mixing._numbered(frame.select(F.col("source").alias("s"), F.col("doc_id").alias("k"), F.length("text").cast("long").alias("size"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
+    numbers = same.groupBy("s", "k", "size").agg(F.sort_array(F.collect_list("same")).alias("n")).collect()
+    assert all(r["n"] == list(range(len(r["n"]))) for r in numbers)
+
+
+def test_taken_rows(spark, odd):
+    """As many rows as copies, of the right texts; names that the stage uses inside, and repeated and null keys, do no harm."""
+    rows = [(i % 3 if i % 4 else None, f"text number {i} " * (i + 1), f"s{i % 2}", i, "x", 3, 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k int, copies string, `copy` int, `own_0` double")
+    out = mixing.take(df)
+    assert out.columns == df.columns
+    got = [tuple(r) for r in out.collect()]
+    want = mixing.mix(df.withColumn("r", F.col("k")), row="r").where("copies > 0").collect()
+    assert set(got) <= set(rows) and len(got) == sum(r["copies"] for r in want)
+    assert max(got.count(x) for x in set(got)) <= 2
+    sizes = {s: sum(plain_words(r[1]) for r in got if r[2] == s) for s in ("s0", "s1")}
+    for r in want:
+        assert abs(sizes[r["source"]] - r["target"]) <= 0.05 * r["target"]
+    assert mixing.take(odd.limit(0)).count() == 0 and mixing.take(odd).columns == odd.columns
+
+
 def test_targets():
     got = mixing.targets({"a": 100, "b": 10, None: 100}, [3, 1, 2])
     assert got["b"] == 20 and np.isclose(sum(got.values()), 315) and got["a"] <= 200 and np.isclose(got["a"], 295 * 3 / 5)
@@ -278,6 +428,7 @@ def test_verified_links_against_brute_force(spark, rows):
     assert 1 < len(set(root)) < 60
     docs = spark.createDataFrame(list(enumerate(texts)) + [(100 + i, "other text") for i in range(50)], "doc_id long, text string")
     clusters = spark.createDataFrame([(i, 0) for i in range(1, 60)], "id long, component long")
-    links = simhash.verified_links(docs, clusters, "doc_id", "text", 5, 0.8, rows)
+    names = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("k"), *(c.alias(n) for n, c in simhash.text_hashes("text").items()))
+    links = simhash.verified_links(docs, clusters, names, "doc_id", "text", 5, 0.8, rows)
     found = {r["id"]: r["component"] for r in simhash.components(links).collect()}
     assert [found.get(i, i) for i in range(60)] == root

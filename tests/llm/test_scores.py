@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from nearfield.llm import ppm, quality, queries, rules
+from nearfield.llm.common import held_out
 
 
 class Trie:
@@ -138,6 +139,38 @@ def test_net_sees_the_whole_text_and_pieces_agree(monkeypatch):
     assert np.allclose(fixed.score(texts), fixed.score(texts)[0])
 
 
+def test_net_against_plain_convolution():
+    """Every filter at every chunk of the padded text, one product at a time."""
+    rng = np.random.default_rng(6)
+    net = quality.ByteNet.new(dims=3, filters=4)
+    net.bias[:] = rng.normal(size=4)
+    for n in (0, 1, 4, 5, 12, 37):
+        text = bytes(rng.integers(0, 256, n, dtype=np.uint8))
+        blocks = max(1, -(-n // quality.BLOCK))
+        codes = list(text) + [quality.PAD] * ((blocks + quality.PARTS - 1) * quality.BLOCK - n)
+        top = []
+        for f in range(4):
+            responses = []
+            for b in range(blocks):
+                total = 0.0
+                for k in range(quality.PARTS):
+                    for j in range(quality.BLOCK):
+                        for d in range(3):
+                            total += float(net.embed[codes[(b + k) * quality.BLOCK + j], d]) * float(net.filters[k, j * 3 + d, f])
+                responses.append(total)
+            top.append(max(responses))
+        z = sum(max(t + float(b), 0) * float(w) for t, b, w in zip(top, net.bias, net.weight)) + net.offset
+        assert math.isclose(net.score([text])[0], 1 / (1 + math.exp(-z)), rel_tol=1e-4)
+
+
+def test_long_labelled_texts_teach(spark):
+    """A long text is learnt from by an excerpt, so long junk is told from long prose."""
+    rows = [(i, ("good prose of some kind " if i % 2 else "$$$ ### @@@ ") * 3000) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = quality.classify(docs, labels, longest=500).toPandas()
+    assert (got.predicted == got.doc_id % 2).all()
+
+
 def test_op6_odd_rows(spark, odd, labels):
     got = quality.classify(odd, labels, most_labelled=50).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
@@ -175,11 +208,35 @@ def test_op10_statistics(spark, sf, documents, odd, labels):
     assert {r["doc_id"] for r in rules.apply_rules(odd, labels.limit(0)).where("kept = base_failed").collect()} == set()
 
 
-def test_op10_keeps_good_rows(spark, sf):
+def test_op10_on_rows_the_forest_never_saw(spark, sf):
+    """Fitted on four fifths of the labels; good and bad rows of the rest."""
     big = sf.replace("0.001", "0.1")  # a forest needs some hundred labelled rows
-    got = queries.op10_rules(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    got = rules.apply_rules(docs, labels, keep=quality.not_held_out).join(labels, "doc_id").where(held_out("doc_id", 5, 0)).where("not base_failed").toPandas()
     assert got[got.quality == 1].kept.mean() >= 0.99
-    assert got[got.quality == 0].kept.mean() <= 0.4
+    assert got[got.quality == 0].kept.mean() <= 0.1
+
+
+def test_paths_against_plain_trees():
+    """Scores from path lengths walked node by node, with the mean path of an unsuccessful search by its sum."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 3)).round(1)
+    x[:, 2] = 1.0
+    forest = rules.IsolationForest.fit(x, trees=7, sample=40)
+    rest = lambda n: 2 * (math.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+    for t in range(7):  # the rows a tree was grown on are not kept: count how many a leaf's depth stands for
+        for leaf in np.flatnonzero((forest.feature[t] < 0) & (forest.depth[t] > 0)):
+            assert any(math.isclose(forest.depth[t][leaf], level + rest(n)) for level in range(8) for n in range(1, 41))
+    want = []
+    for row in x:
+        total = 0.0
+        for f, v, left, depth in zip(forest.feature, forest.value, forest.left, forest.depth):
+            node = 0
+            while f[node] >= 0:
+                node = left[node] + int(row[f[node]] > v[node])
+            total += depth[node]
+        want.append(2 ** (-total / 7 / rest(40)))
+    assert np.allclose(forest.score(x), want)
 
 
 def test_forest_isolates():
