@@ -7,7 +7,6 @@ columns of documents.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +31,22 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("k"), "copies")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("k")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Rows are taken one by one, so repeated rows, repeated and null keys each
+    draw for themselves; null text has no words; an empty table stays empty;
+    columns of any name pass.
+    """
+    return mixing.take(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and the text that the ids decode to."""
-    found = tokenized(docs, public_tokenizers.path(PIECE_MODEL))
+    """doc_id, ids, n_tokens and the text that the ids decode to, for every row.
+
+    Null text is empty and has no ids; repeated rows are each tokenized; an
+    empty table stays empty; columns but doc_id and text are not read.
+    """
+    found = tokenized(docs, PIECE_MODEL)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
