@@ -28,8 +28,9 @@ class Metric(str, Enum):
 METRIC_NAMES = {"l2": Metric.L2, "l2sq": Metric.L2, "euclidean": Metric.L2, "cosine": Metric.COSINE, "cos": Metric.COSINE, "ip": Metric.IP}
 
 ELEMENT_TYPES = ("float32", "int8")
-EDGE_TYPES = ("none", "ternary")
-FORMAT_VERSION = 3
+EDGE_TYPES = ("none", "ternary", "int8", "float16", "1bit")
+BUILDS = ("batch", "doubling", "serial")
+FORMAT_VERSION = 4
 
 
 @dataclass(frozen=True)
@@ -45,10 +46,12 @@ class IndexConfig:
     dimensions: int = 0
     element_type: str = ""
     shard_rows: int = 20_000
+    probes: int = 8
+    build: str = "batch"
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "metric", Metric.parse(self.metric))
-        for name in ("r", "l_insert", "l_search", "shard_rows"):
+        for name in ("r", "l_insert", "l_search", "shard_rows", "probes"):
             value = getattr(self, name)
             if isinstance(value, bool) or not isinstance(value, int):
                 raise ValueError(f"{name} must be an integer")
@@ -60,8 +63,12 @@ class IndexConfig:
             raise ValueError("l_insert must be at least r")
         if self.edge_type not in EDGE_TYPES:
             raise ValueError(f"edge_type must be one of {EDGE_TYPES}")
+        if self.build not in BUILDS:
+            raise ValueError(f"build must be one of {BUILDS}")
         if self.edge_type == "ternary" and self.metric is Metric.L2:
             raise ValueError("ternary codes do not approximate L2; use cosine or ip")
+        if self.edge_type == "1bit" and self.metric is not Metric.COSINE:
+            raise ValueError("sign bits approximate cosine alone")
         if self.element_type and self.element_type not in ELEMENT_TYPES:
             raise ValueError(f"vectors must be one of {ELEMENT_TYPES}")
         if self.dimensions < 0:
@@ -75,7 +82,7 @@ class IndexConfig:
         for name, value in (options or {}).items():
             key = name.lower()
             if key in own:
-                found[key] = str(value).lower() if key == "edge_type" else value
+                found[key] = str(value).lower() if key in ("edge_type", "build") else value
             elif key in ("ef_construction", "ef_search", "m", "m0"):
                 if isinstance(value, bool) or not isinstance(value, int):
                     raise ValueError(f"{name} must be an integer")
@@ -117,4 +124,4 @@ class IndexConfig:
 
     def edge_bytes(self) -> int:
         plane = 8 * ((self.dimensions + 63) // 64)
-        return {"none": 0, "ternary": 2 * plane}[self.edge_type]
+        return {"none": 0, "ternary": 2 * plane, "1bit": plane, "int8": self.dimensions, "float16": 2 * self.dimensions}[self.edge_type]

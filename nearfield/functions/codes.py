@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,9 +76,11 @@ def hamming(a: Column, b: Column) -> Column:
 def float16_round_trip(v: Column | str) -> Column:
     """Elements as they come back from 16-bit floats; Spark has no such type."""
 
-    @F.pandas_udf("array<float>")
-    def half(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).astype(np.float32))
+    @F.arrow_udf("array<float>")
+    def half(values: pa.Array) -> pa.Array:
+        flat = values.values.cast(pa.float32())
+        rounded = pa.array(flat.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32), mask=flat.is_null().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(values.offsets, rounded, mask=values.is_null() if values.null_count else None)
 
     return half(v)
 
@@ -99,3 +101,48 @@ def ternary_scores(pos: np.ndarray, neg: np.ndarray, q_pos: np.ndarray, q_neg: n
     count = lambda a, b: np.bitwise_count(a & b).sum(-1, dtype=np.int64)
     return count(pos, q_pos) - count(pos, q_neg) - count(neg, q_pos) + count(neg, q_neg)
 
+
+class EdgeCodes:
+    """Codes of many vectors (n x dims) by which a graph's walk is ordered; all but ternary approximate the metric's distance."""
+
+    def __init__(self, kind: str, x: np.ndarray, metric: Metric):
+        self.kind, self.metric, self.dims = kind, metric, x.shape[1]
+        norms = np.sqrt((x**2).sum(1, keepdims=True))
+        unit = x / np.where(norms == 0, 1, norms) if metric is Metric.COSINE else x
+        if kind == "ternary":
+            self.planes = ternary_planes(x)
+        elif kind == "1bit":
+            self.planes = ternary_planes(x)[:1]
+        elif kind == "float16":
+            self.values, self.scale = unit.astype(np.float16), 1.0
+        else:  # int8: elements as a share of the largest, which is kept
+            self.scale = float(np.abs(unit).max(initial=0)) / 127 or 1.0
+            self.values = np.round(unit / self.scale).astype(np.int8)
+
+    @classmethod
+    def of(cls, kind: str, x: np.ndarray, metric: Metric) -> EdgeCodes | None:
+        return None if kind == "none" else cls(kind, x, metric)
+
+    def measure(self, query: np.ndarray):
+        """A function from rows to their approximate distances to the query."""
+        q = np.asarray(query, np.float64)
+        if self.kind in ("ternary", "1bit"):
+            own = ternary_planes(q[None])
+            if self.kind == "1bit":  # the angle, from the share of differing signs
+                return lambda rows: 1 - np.cos(np.pi * np.bitwise_count(self.planes[0][rows] ^ own[0]).sum(-1, dtype=np.int64) / self.dims)
+
+            def signs(rows: np.ndarray) -> np.ndarray:
+                s = ternary_scores(self.planes[0][rows], self.planes[1][rows], *own).astype(float)
+                return -s if self.metric is Metric.IP else 1 - s
+
+            return signs
+        if self.metric is Metric.COSINE:
+            q = q / (np.sqrt((q**2).sum()) or 1)
+
+        def decoded(rows: np.ndarray) -> np.ndarray:
+            x = self.values[rows].astype(np.float64) * self.scale
+            if self.metric is Metric.L2:
+                return np.sqrt(((x - q) ** 2).sum(1))
+            return -(x @ q) if self.metric is Metric.IP else 1 - x @ q
+
+        return decoded

@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Metric
-from ..functions.distance import higher_is_better
-from .aggregates import best_by_k
 from .blocks import many_nearest
 
 
 def index_join(outer: DataFrame, inner: DataFrame, outer_col: str, inner_col: str, k: int, metric: str | Metric = Metric.L2, outer_id: str = "query_id", inner_id: str = "vec_id") -> DataFrame:
-    """inner columns, row_number (from 1, anew for each outer row), dist, outer columns (renamed with outer_ where both have one)."""
+    """inner columns, row_number (from 1, anew for each outer row), dist, outer columns (renamed with outer_ where both have one).
+
+    Exact; VectorIndex.join gives the same columns by the graphs of an index.
+    """
     queries = outer.select(F.col(outer_id).alias("query_id"), F.col(outer_col).alias("query"))
-    found = many_nearest(inner, queries, k, metric, inner_id, inner_col)
+    return with_columns(many_nearest(inner, queries, k, metric, inner_id, inner_col), outer, inner, outer_id, inner_id)
+
+
+def with_columns(found: DataFrame, outer: DataFrame, inner: DataFrame, outer_id: str, inner_id: str) -> DataFrame:
+    """The columns of both sides beside (query_id, inner id, dist, row_number)."""
     found = found.select(F.col("query_id").alias("__outer"), F.col(inner_id).alias("__inner"), "dist", "row_number")
     taken = set(inner.columns) | {"dist", "row_number"}
     right = outer.select(*(F.col(c).alias(f"outer_{c}" if c in taken else c) for c in outer.columns), F.col(outer_id).alias("__outer"))
@@ -55,11 +60,6 @@ def knn_match(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     return left.join(lists, left[left_id] == lists["query_id"], "left").select(*(left[c] for c in left.columns), F.coalesce("matches", F.array().cast(kind)).alias("matches"))
 
 
-def best_rows(df: DataFrame, group: str, value: str, arg: str, k: int, metric: str | Metric = "l2sq") -> DataFrame:
-    """group and a list of the k args of best value: least for l2, greatest for cosine and ip."""
-    return best_by_k(df, [group], arg, value, k, highest=higher_is_better(metric), name="best")
-
-
 def ranked(df: DataFrame, group: str, value: str, tie: str, k: int) -> DataFrame:
     """Rows whose row_number by (value, tie) in their group is at most k; Spark limits groups before the shuffle."""
     order = Window.partitionBy(group).orderBy(value, tie)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..config import Metric
 from ..functions import codes, distance as D
-from ..functions.sql import register, register_table
+from ..functions.sql import register, register_index, register_table
+from ..functions.sql import run as run_sql
 from ..operators import aggregates, fusion, joins, knn, twostage
 from ..operators.blocks import many_nearest
 from .index import VectorIndex
@@ -36,6 +37,8 @@ def index_path(spark: SparkSession) -> str:
     """A folder that driver and executors share."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("nearfield.indexDir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="nearfield-index-")
         spark.conf.set("nearfield.indexDir", shared)
     return f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
@@ -291,6 +294,12 @@ def min_by_k_filter_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(aggregates.min_by_k(_measured(spark, sf_dir), "vec_id", "dist", K, where=F.col("label") >= 5))
 
 
+@query("min_by_k_post", f"SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY n) AS best FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS n FROM ({_MEASURED})) WHERE n <= 8 AND vec_id % 2 = 0 GROUP BY label")
+def min_by_k_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 8 best of each label, and of those the ones of even id."""
+    return _joined(aggregates.min_by_k(_measured(spark, sf_dir), "vec_id", "dist", 8, ["label"], where=F.col("vec_id") % 2 == 0, filter_mode="post"))
+
+
 @query("row_number_per_label", f"SELECT vec_id, label, dist, row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) AS row_number FROM ({_MEASURED}) QUALIFY row_number <= 3")
 def row_number_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ranked(_measured(spark, sf_dir), "label", "dist", "vec_id", 3).withColumn("row_number", F.col("row_number").cast("long"))
@@ -356,10 +365,11 @@ def sign_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twostage.sign_two_stage(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir, 8), K, 60).select("vec_id", "apart", "dist")
 
 
-@query("float16_error")
+@query("float16_error", "SELECT vec_id, true AS near FROM embeddings")
 def float16_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).withColumn("half", codes.float16_round_trip("embedding"))
-    return rows.select("vec_id", F.round(D.l2_distance("embedding", "half"), 6).alias("error"))
+    # each element keeps 11 significant bits, so the error is at most 2 ** -11 of the length
+    return rows.select("vec_id", (D.l2_distance("embedding", "half") <= D.l2_distance("embedding", F.array_repeat(F.lit(0.0), DIMS)) / 2048).alias("near"))
 
 
 # --- hybrid
@@ -420,7 +430,8 @@ def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, metric: str = "cosine", **options) -> VectorIndex:
-    return VectorIndex.create(embeddings(spark, sf_dir), "embedding", index_path(spark), options={"METRIC": metric, "R": 32, "L_INSERT": 70, "SHARD_ROWS": 512, **options}, name="vectors", table="embeddings")
+    """An index of the whole table, all options but the metric at their defaults unless given."""
+    return VectorIndex.create(embeddings(spark, sf_dir), "embedding", index_path(spark), options={"METRIC": metric, **options}, name="vectors", table="embeddings")
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -429,43 +440,106 @@ def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return hits.agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"), F.countDistinct("query_id").alias("queries"))
 
 
-@query("index_search")
+def _hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ids divisible by 100, as queries."""
+    return embeddings(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+_HUNDREDTH = _PAIRS.format(d=_DIST["cosine"]).replace("label = 7", "vec_id % 100 = 0")
+
+
+@query("index_search", f"SELECT vec_id, dist, row_number() OVER (ORDER BY dist, vec_id) AS row_number FROM ({_sql('cosine', columns='b.vec_id')})")
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).search(question(spark, sf_dir), K)
 
 
-@query("index_recall", "SELECT true AS enough, count(*) AS queries FROM embeddings WHERE label = 7")
+@query("index_search_many", _RANKED.format(p=_HUNDREDTH, k=K))
+def index_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of ids divisible by 100 against the default index; the SQL gives the true neighbours."""
+    return _index(spark, sf_dir).search_many(_hundredth(spark, sf_dir), K)
+
+
+@query("index_search_shards", _RANKED.format(p=_HUNDREDTH, k=K))
+def index_search_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with small shards, all of which are asked, and queries and shards meeting by cell."""
+    return _index(spark, sf_dir, SHARD_ROWS=100, PROBES=1000).search_many(_hundredth(spark, sf_dir), K, broadcast_bytes=0)
+
+
+@query("index_search_filtered", _RANKED.format(p=_HUNDREDTH + " WHERE b.label < 3", k=5))
+def index_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk crosses all nodes and gives those of allowed ids."""
+    allowed = embeddings(spark, sf_dir).where("label < 3").select("vec_id")
+    return _index(spark, sf_dir).search_many(_hundredth(spark, sf_dir), 5, ef=200, allowed=allowed)
+
+
+def _coded(edge: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _index(spark, sf_dir, EDGE_TYPE=edge).search_many(_hundredth(spark, sf_dir), K, ef=200)
+
+    return run
+
+
+for _edge in ("ternary", "int8", "float16", "1bit"):
+    query(f"index_edges_{_edge}", _RANKED.format(p=_HUNDREDTH, k=K))(_coded(_edge))
+
+
+def _built(build: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _index(spark, sf_dir, BUILD=build, R=32, L_INSERT=64).search_many(_hundredth(spark, sf_dir), K, ef=200)
+
+    return run
+
+
+for _way in ("doubling", "serial"):
+    query(f"index_build_{_way}", _RANKED.format(p=_HUNDREDTH, k=K))(_built(_way))
+
+
+@query("index_recall")
 def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _questions(spark, sf_dir).select("query_id", "query")
-    found = _index(spark, sf_dir).search_many(asked, K)
-    truth = joins.lateral_join(asked, embeddings(spark, sf_dir), "query", "embedding", K, "cosine")
-    return recall(found, truth).select((F.col("recall") >= 0.95).alias("enough"), "queries")
+    """Measured recall of 10 over ids divisible by 100, with cells of about 100 rows and the default number of probes."""
+    base, asked = embeddings(spark, sf_dir), _hundredth(spark, sf_dir)
+    return recall(_index(spark, sf_dir, SHARD_ROWS=100).search_many(asked, K), joins.lateral_join(asked, base, "query", "embedding", K, "cosine"))
 
 
-@query("index_recall_ternary", "SELECT true AS enough, count(*) AS queries FROM embeddings WHERE label = 7")
+@query("index_recall_ternary")
 def index_recall_ternary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _questions(spark, sf_dir).select("query_id", "query")
-    found = _index(spark, sf_dir, EDGE_TYPE="ternary").search_many(asked, K, ef=200)
-    truth = joins.lateral_join(asked, embeddings(spark, sf_dir), "query", "embedding", K, "cosine")
-    return recall(found, truth).select((F.col("recall") >= 0.9).alias("enough"), "queries")
+    """The same of the ternary-edge index with all other options at their defaults."""
+    base, asked = embeddings(spark, sf_dir), _hundredth(spark, sf_dir)
+    return recall(_index(spark, sf_dir, EDGE_TYPE="ternary").search_many(asked, K), joins.lateral_join(asked, base, "query", "embedding", K, "cosine"))
 
 
-@query("index_recall_ternary_default")
-def index_recall_ternary_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the ternary-edge index with all other options at their defaults, over ids divisible by 100."""
+@query("index_joined", f"SELECT b.vec_id, b.label, r.row_number, r.dist, r.query_id FROM ({_RANKED.format(p=_HUNDREDTH, k=5)}) r JOIN embeddings b USING (vec_id)")
+def index_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join whose neighbours come from the index, with the columns of both sides."""
     base = embeddings(spark, sf_dir)
-    asked = base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    index = VectorIndex.create(base, "embedding", index_path(spark), options={"METRIC": "cosine", "EDGE_TYPE": "ternary"})
-    return recall(index.search_many(asked, K), joins.lateral_join(asked, base, "query", "embedding", K, "cosine"))
+    return _index(spark, sf_dir).join(_hundredth(spark, sf_dir), base.select("vec_id", "label"), "query", 5).select("vec_id", "label", "row_number", "dist", "query_id")
 
 
-@query("index_filtered_recall", "SELECT true AS enough, count(*) AS queries FROM embeddings WHERE label = 7")
-def index_filtered_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = embeddings(spark, sf_dir)
-    asked = _questions(spark, sf_dir).select("query_id", "query")
-    found = _index(spark, sf_dir).search_many(asked, 5, ef=200, allowed=base.where("label < 3").select("vec_id"))
-    truth = joins.lateral_join(asked, base.where("label < 3"), "query", "embedding", 5, "cosine")
-    return recall(found, truth).select((F.col("recall") >= 0.9).alias("enough"), "queries")
+@query("sql_index_search", f"SELECT f.vec_id, f.dist, b.label FROM ({_sql('cosine', columns='b.vec_id', key=9)}) f JOIN embeddings b USING (vec_id)")
+def sql_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index searched from a SQL statement, with a subquery as its question."""
+    index = _index(spark, sf_dir)
+    register_index(spark, "vectors", index.store.path)
+    embeddings(spark, sf_dir).createOrReplaceTempView("nf_embeddings")
+    return run_sql(spark, "SELECT t.vec_id, t.dist, b.label FROM vector_top_k('vectors', (SELECT embedding FROM nf_embeddings WHERE vec_id = 9), 10) t JOIN nf_embeddings b USING (vec_id)")
+
+
+@query("index_nearest", _sql("cosine", columns="b.vec_id", where="b.label = 3"))
+def index_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact or by the graphs, as few or many rows remain to compare."""
+    return _index(spark, sf_dir).nearest(question(spark, sf_dir), K, allowed=embeddings(spark, sf_dir).where("label = 3").select("vec_id"))
+
+
+@query("index_snapshot", "SELECT 'then' AS state, count(*) AS n FROM embeddings UNION ALL SELECT 'now', count(*) FROM embeddings WHERE label <> 4")
+def index_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state of before a deletion and a compaction, read after both."""
+    index = _index(spark, sf_dir)
+    first = index.snapshots()[-1]
+    index.delete(embeddings(spark, sf_dir).where("label = 4").select("vec_id"))
+    index.compact()
+    old = VectorIndex(spark, index.store.path, snapshot=first)
+    counted = [x.rows().agg(F.count("*").alias("n")).select(F.lit(state).alias("state"), "n") for state, x in (("then", old), ("now", index))]
+    return counted[0].unionByName(counted[1])
 
 
 @query("index_info", "SELECT 'vectors' AS index_name, 'embeddings' AS table_name, 'cosine' AS metric, 64::BIGINT AS dimensions, count(*) AS count, 1::BIGINT AS levels FROM embeddings")

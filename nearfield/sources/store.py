@@ -1,13 +1,17 @@
 """Versioned Parquet folders behind Hadoop's file systems, so any path that Spark reads will do.
 
-A version is written whole, then one small pointer file is renamed into place;
-readers follow the pointer, so they see either the old version or the new one.
+Tables are written whole under names of their own. Then a small file with the
+next number, which says what tables there are, is renamed into place, which
+fails if another writer took that number first; readers take the file with the
+highest number, or an older one.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,17 +35,33 @@ class Store:
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(""))) if self.exists() else []
 
-    def put(self, name: str, value: dict) -> None:
-        """Writes a JSON file beside its place and renames it there."""
-        temporary = self._path(f".{name}.new")
+    @staticmethod
+    def state_name(number: int) -> str:
+        return f"state-{number:010d}.json"
+
+    def states(self) -> list[int]:
+        """Numbers of the states that are there, in order."""
+        return [int(n[6:-5]) for n in self.names() if n.startswith("state-") and n.endswith(".json")]
+
+    def state(self, number: int | None = None) -> dict:
+        return self.get(self.state_name(self.states()[-1] if number is None else number))
+
+    def commit(self, number: int, value: dict) -> bool:
+        """Puts a state in place under its number; False if that number is taken."""
+        temporary = self._path(f".{uuid.uuid4().hex}.new")
         out = self.fs.create(temporary, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        option = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = option
-        context.rename(temporary, self._path(name), options)
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)  # none: do not overwrite
+        try:
+            context.rename(temporary, self._path(self.state_name(number)), options)
+        except Py4JJavaError:
+            self.fs.delete(temporary, False)
+            if not self.exists(self.state_name(number)):
+                raise
+            return False
+        return True
 
     def get(self, name: str) -> dict:
         stream = self.fs.open(self._path(name))

@@ -14,7 +14,9 @@ def ingest(stream: DataFrame, index: VectorIndex, checkpoint: str, col: str = "e
 
     In a batch the last row of an id counts (by order_col). With event_time,
     repeats of an id that come within `late` are dropped by watermark. A batch
-    that runs again after a failure does no harm: it replaces what it wrote.
+    that runs again after a failure does no harm: the index knows which batch of
+    the stream (told by its checkpoint) it took last, and deletions that come
+    twice before it are the same as once.
     """
     if event_time:
         stream = stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([id_col])
@@ -24,10 +26,12 @@ def ingest(stream: DataFrame, index: VectorIndex, checkpoint: str, col: str = "e
         if order_col:
             last = Window.partitionBy(id_col).orderBy(F.desc(order_col))
             rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+        if index.meta["streams"].get(checkpoint, -1) >= number:
+            return
         if op_col:
             index.delete(rows.where(F.col(op_col) == "delete").select(id_col))
             rows = rows.where(F.coalesce(F.col(op_col), F.lit("")) != "delete")
-        index.insert(rows, col, id_col)
+        index.insert(rows, col, id_col, stream=(checkpoint, number))
         if compact_every and (number + 1) % compact_every == 0:
             index.compact()
 

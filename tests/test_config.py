@@ -35,7 +35,10 @@ def test_options_of_either_spelling():
         IndexConfig.from_dict(c.to_dict() | {"format_version": 1})
 
 
-@pytest.mark.parametrize("edge", ["int8", "float16", "1bit"])
-def test_edge_codes_that_are_not_built_are_refused(edge):
-    with pytest.raises(ValueError, match="edge_type"):
-        IndexConfig.from_options({"METRIC": "cosine", "EDGE_TYPE": edge})
+def test_bytes_of_edge_codes():
+    sizes = {e: IndexConfig.from_options({"METRIC": "cosine", "EDGE_TYPE": e}).bound(100, "float32").edge_bytes() for e in ("none", "ternary", "1bit", "int8", "float16")}
+    assert sizes == {"none": 0, "ternary": 32, "1bit": 16, "int8": 100, "float16": 200}
+    with pytest.raises(ValueError):
+        IndexConfig.from_options({"METRIC": "l2", "EDGE_TYPE": "1bit"})
+    with pytest.raises(ValueError):
+        IndexConfig.from_options({"BUILD": "random"})
