@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Metric
-from ..functions import codes
+from ..functions import codes, pq
 from ..functions.distance import inner_product, vector
 from .knn import check_k, with_distance
 
@@ -58,3 +58,13 @@ def sign_two_stage(df: DataFrame, col: str, query: Sequence[float], k: int, brea
     own = codes.sign_bits(vector(list(query)), len(query))
     first = df.where(F.col(col).isNotNull()).withColumn("apart", codes.hamming(codes.sign_bits(col, len(query)), own)).orderBy("apart", id_col).limit(max(breadth, k))
     return with_distance(first, col, query, Metric.COSINE).orderBy("dist", id_col).limit(k)
+
+
+def pq_two_stage(df: DataFrame, col: str, query: Sequence[float], k: int, breadth: int, metric: str | Metric = Metric.COSINE, id_col: str = "vec_id", groups: int = 16, books: pq.Codebooks | None = None, coded: DataFrame | None = None) -> DataFrame:
+    """The same with product codes in the first stage; books and coded (id, code) are made on the way unless given."""
+    check_k(k)
+    books = books or pq.fit(df, col, groups, metric, id_col)
+    coded = coded if coded is not None else pq.encoded(df, col, books, id_col)
+    first = pq.scored(coded, books, np.asarray(query, np.float64), id_col).orderBy("score", id_col).limit(max(breadth, k))
+    rows = df.join(F.broadcast(first), id_col)  # max(breadth, k) rows
+    return with_distance(rows, col, query, metric).orderBy("dist", id_col).limit(k)

@@ -365,6 +365,13 @@ def sign_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twostage.sign_two_stage(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir, 8), K, 60).select("vec_id", "apart", "dist")
 
 
+@query("pq_two_stage", _sql("cosine", key=6, columns="b.vec_id"))
+def pq_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of 32 bytes a vector choose half the table's rows; the SQL gives the true neighbours."""
+    base = embeddings(spark, sf_dir)
+    return twostage.pq_two_stage(base, "embedding", question(spark, sf_dir, 6), K, -(-base.count() // 2), groups=32).select("vec_id", "dist")
+
+
 @query("float16_error", "SELECT vec_id, true AS near FROM embeddings")
 def float16_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embeddings(spark, sf_dir).withColumn("half", codes.float16_round_trip("embedding"))

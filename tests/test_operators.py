@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield.functions import pq
 from nearfield.operators import aggregates, blocks, fusion, joins, knn, twostage
 
 
@@ -105,3 +106,36 @@ def test_fusion(spark):
     b = spark.createDataFrame([(2, 5.0), (3, 6.0)], "id long, s double")
     got = fusion.fused([a, b], "id", ["d", "s"], 3).collect()
     assert [r["id"] for r in got] == [2, 1, 3] and got[0]["rrf"] == round(1 / 62 + 1 / 61, 9)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_product_codes(spark, sf, metric):
+    """Codes against a plain search of the centroids, table sums against decoded vectors, and recall of two stages."""
+    base = spark.read.parquet(f"{sf}/embeddings.parquet")
+    books = pq.fit(base, "embedding", 8, metric, sample=100)
+    x = np.array([r["embedding"] for r in base.orderBy("vec_id").collect()], np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+    got = {r["vec_id"]: bytes(r["code"]) for r in pq.encoded(base, "embedding", books).collect()}
+    for i in range(0, len(x), 25):
+        parts = unit[i].reshape(8, 8)
+        assert list(got[i]) == [int(((books.centroids[g] - parts[g]) ** 2).sum(1).argmin()) for g in range(8)]
+    query = x[3].tolist()
+    score = {r["vec_id"]: r["score"] for r in pq.scored(pq.encoded(base, "embedding", books), books, np.array(query)).collect()}
+    for i in range(0, len(x), 40):
+        decoded = np.concatenate([books.centroids[g][c] for g, c in enumerate(got[i])])
+        want = ((decoded - unit[3]) ** 2).sum() if metric == "l2" else -decoded @ unit[3]
+        assert np.isclose(score[i], want, atol=1e-5)
+    found = [r["vec_id"] for r in twostage.pq_two_stage(base, "embedding", query, 10, 100, metric, groups=16).collect()]
+    true = [r["vec_id"] for r in knn.knn(base, "embedding", query, 10, metric).collect()]
+    assert len(set(found) & set(true)) >= 9
+    with pytest.raises(ValueError):
+        pq.fit(base, "embedding", 7)
+
+
+def test_min_by_post_filter(spark):
+    rows = spark.createDataFrame([(g, i, float(i % 7)) for g in "ab" for i in range(20)], "g string, a long, v double")
+    got = {r["g"]: r["best"] for r in aggregates.min_by_k(rows, "a", "v", 4, ["g"], where=F.col("a") > 5, filter_mode="post").collect()}
+    assert got == {"a": [7, 14], "b": [7, 14]}
+    assert aggregates.min_by_k(rows, "a", "v", 4, where=F.col("a") > 5, filter_mode="post").first()["best"] == [7, 7][:2]
+    with pytest.raises(ValueError):
+        aggregates.min_by_k(rows, "a", "v", 4, filter_mode="later")
