@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,6 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+
+def _give_back() -> None:
+    """Has this process return large arrays to the system once they are freed, as workers are kept for other tasks.
+
+    glibc else raises the size from which it maps memory, up to 32 MB, and keeps
+    what lies below; Arrow's own pool keeps pages too. Elsewhere nothing is done.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
+_give_back()
+
 #: Characters of text that one vectorised pass holds at a time.
 SLICE_CHARS = 1 << 20
 
