@@ -134,6 +134,75 @@ FROM sharded
 """
 
 
+# --- those columns of four queries that SQL can express, from the same operators over the whole table
+
+
+def ppm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def winnow_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_winnow(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def rules_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_CRC_TABLE = OP7_SQL[OP7_SQL.index("  SELECT list(c ORDER BY i)") : OP7_SQL.index("),\nbody AS")]
+
+PPM_SQL = f"""
+WITH crc_table AS ({_CRC_TABLE}),
+body AS (
+  SELECT doc_id, hex(doc_id::VARCHAR) AS digits, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+marked AS (
+  SELECT doc_id, words, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(digits), 2), lambda i: ('0x' || substr(digits, i, 2))::BIGINT)),
+      lambda c, x: xor(c >> 8, t.entries[xor(c, x) % 256 + 1])), 4294967295::BIGINT) % 7 = 2 AS held_out FROM body, crc_table t),
+tokens AS (SELECT doc_id, held_out, unnest(list_append(words, '')) AS token FROM marked),
+counts AS (SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token),
+sums AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 3) AS base_score
+FROM tokens LEFT JOIN counts USING (token), sums GROUP BY doc_id, held_out
+"""
+
+EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS i, count(*) OVER () AS n FROM documents)
+SELECT d.doc_id, length(d.t) AS n_chars, sha256(substr(d.t, 1, length(d.t) - length(d.t) // 4) || substr(e.t, 1, length(d.t) // 4)) AS edited_sha256
+FROM d JOIN d e ON e.i = d.i % d.n + 1
+"""
+
+# the level at which the weighted shares meet the total, if sources that would rise above their cap stop there
+TARGETS_SQL = f"""
+WITH sized AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS i FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE i WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 2.0::DOUBLE * source_size AS cap FROM sources),
+levels AS (
+  SELECT cap / w AS edge, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW p AS (ORDER BY cap / w, source)),
+chosen AS (SELECT arg_min(level, edge) AS level FROM levels WHERE level <= edge)
+SELECT s.doc_id, s.size, g.source_size, round(least(g.cap, c.level * g.w), 4) AS target
+FROM sized s JOIN weighed g ON s.source IS NOT DISTINCT FROM g.source, chosen c
+"""
+
+RULES_SQL = f"""
+WITH body AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM body)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again WHERE c > 1) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM body)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words AS base_failed
+FROM counted LEFT JOIN covered USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op1_pieces": op1_pieces,
@@ -146,9 +215,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_idfiles": op8_idfiles,
         "op9_mix": op9_mix,
         "op10_rules": op10_rules,
+        "ppm_base": ppm_base,
+        "winnow_edits": winnow_edits,
+        "mix_targets": mix_targets,
+        "rules_statistics": rules_statistics,
     }
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_urls": OP4_SQL, "op7_shards": OP7_SQL}
+    return {"op4_urls": OP4_SQL, "op7_shards": OP7_SQL, "ppm_base": PPM_SQL, "winnow_edits": EDITS_SQL, "mix_targets": TARGETS_SQL, "rules_statistics": RULES_SQL}

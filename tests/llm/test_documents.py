@@ -432,3 +432,14 @@ def test_verified_links_against_brute_force(spark, rows):
     links = simhash.verified_links(docs, clusters, names, "doc_id", "text", 5, 0.8, rows)
     found = {r["id"]: r["component"] for r in simhash.components(links).collect()}
     assert [found.get(i, i) for i in range(60)] == root
+
+
+@pytest.mark.parametrize("name", ["ppm_base", "winnow_edits", "mix_targets", "rules_statistics"])
+def test_columns_against_sql(spark, sf, name):
+    """What of four operators SQL can express, over the whole table."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, sf).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
