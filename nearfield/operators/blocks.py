@@ -1,10 +1,11 @@
 """Exact search of many queries at once: blocks of queries against blocks of rows.
 
-A block of queries meets a block of vectors in one matrix product, which leaves
-at most k candidates for each query and block; a window over those gives the
-final k. A query set of checked size is sent to every partition; a larger one
-is cut into blocks, and each pair of a query block and a row block is a group
-of its own, so that no task holds more than one block of either.
+A block of queries meets a block of vectors in one matrix product; a task keeps
+the best k of each query over all its blocks, and a window over the tasks'
+results gives the final k. A query set of checked size is sent to every
+partition; a larger one is cut into blocks of bytes, and each pair of a query
+block and a row block is a group of its own, so that no task holds more than
+one block of either. The larger the blocks, the fewer copies are shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from .knn import ROUND, check_k
 
 #: A query set of at most so many bytes goes to every executor.
 BROADCAST_BYTES = 32 << 20
-BLOCK_ROWS = 4096
+#: Bytes of vectors in a block of either side, where both are cut into blocks.
+BLOCK_BYTES = 16 << 20
+#: Queries in one matrix product.
+QUERIES = 1024
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -74,12 +78,23 @@ def many_nearest(base: DataFrame, queries: DataFrame, k: int, metric: str | Metr
     id_type, qid_type = base.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
     schema = f"qid {qid_type}, id {id_type}, dist double"
 
-    def pairs(qids: pa.Array, q: np.ndarray, batch_ids: pa.Array, x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.array(batch_ids.to_pylist())
-        for a in range(0, len(q), 1024):
-            row, column, d = nearest(q[a : a + 1024], x, order, k, metric)
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(row + a)), batch_ids.take(pa.array(column)), pa.array(d)], ["qid", "id", "dist"])
-
+    def best(qids: pa.Array, q: np.ndarray, some: Iterable[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """The k nearest of all blocks (ids, vectors) to each query, as ids and distances."""
+        row, ids, d = np.zeros(0, np.int64), None, np.zeros(0)
+        for batch_ids, x in some:
+            names = np.array(batch_ids.to_pylist())
+            for a in range(0, len(q), QUERIES):
+                own, column, near = nearest(q[a : a + QUERIES], x, names, k, metric)
+                row, d = np.append(row, own + a), np.append(d, near)
+                ids = names[column] if ids is None else np.append(ids, names[column])
+            order = np.lexsort((ids, d, row))
+            row, ids, d = row[order], ids[order], d[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < k
+            row, ids, d = row[keep], ids[keep], d[keep]
+        if len(row):
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)), pa.array(ids.tolist(), id_arrow[0]), pa.array(d)], ["qid", "id", "dist"])
+
+    id_arrow: list = [None]
     size, wide = queries.agg(F.count("*"), F.max(F.size("q"))).first()
     if size * (wide or 0) * 8 <= broadcast_bytes:
         held = queries.toArrow().combine_chunks()
@@ -88,22 +103,29 @@ def many_nearest(base: DataFrame, queries: DataFrame, k: int, metric: str | Metr
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = sent.value
-            for batch in batches:
-                if batch.num_rows and len(q):
-                    yield from pairs(qids, q, batch.column(0), matrix(batch.column(1)))
+
+            def blocks() -> Iterator[tuple[pa.Array, np.ndarray]]:
+                for batch in batches:
+                    if batch.num_rows and len(q):
+                        id_arrow[0] = batch.column(0).type
+                        yield batch.column(0), matrix(batch.column(1))
+
+            yield from best(qids, q, blocks())
 
         found = base.mapInArrow(scan, schema)
     else:
         rows = base.agg(F.count("*")).first()[0]
-        n_q, n_b = -(-size // BLOCK_ROWS), max(1, -(-rows // BLOCK_ROWS))
+        at_once = max(1, BLOCK_BYTES // (8 * wide))
+        n_q, n_b = -(-size // at_once), max(1, -(-rows // at_once))
         left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
         right = base.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(n_b)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
             found = []
+            id_arrow[0] = b.column("id").type
             if a.num_rows and b.num_rows:
                 a, b = a.combine_chunks(), b.combine_chunks()
-                found = list(pairs(a.column("qid").combine_chunks(), matrix(a.column("q")), b.column("id").combine_chunks(), matrix(b.column("v"))))
+                found = list(best(a.column("qid").combine_chunks(), matrix(a.column("q")), [(b.column("id").combine_chunks(), matrix(b.column("v")))]))
             return pa.Table.from_batches(found, pa.schema([("qid", a.column("qid").type), ("id", b.column("id").type), ("dist", pa.float64())]))
 
         found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(meet, schema)

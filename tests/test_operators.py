@@ -139,3 +139,16 @@ def test_min_by_post_filter(spark):
     assert aggregates.min_by_k(rows, "a", "v", 4, where=F.col("a") > 5, filter_mode="post").first()["best"] == [7, 7][:2]
     with pytest.raises(ValueError):
         aggregates.min_by_k(rows, "a", "v", 4, filter_mode="later")
+
+
+def test_blocks_of_both_sides_and_ids_of_any_kind(base, monkeypatch):
+    """Small blocks of queries and rows, few queries at a time, and ids that are strings: as one block."""
+    asked = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = sorted(map(tuple, blocks.many_nearest(base, asked, 4).collect()))
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 8 * 3 * 40)
+    monkeypatch.setattr(blocks, "QUERIES", 7)
+    assert sorted(map(tuple, blocks.many_nearest(base, asked, 4, broadcast_bytes=0).collect())) == want
+    named = base.withColumn("vec_id", F.format_string("%05d", "vec_id"))
+    for size in (0, 1 << 20):
+        got = sorted((q, int(i), d, n) for q, i, d, n in blocks.many_nearest(named, asked, 4, broadcast_bytes=size).collect())
+        assert got == want
