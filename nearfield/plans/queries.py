@@ -23,6 +23,8 @@ from .index import VectorIndex
 
 K = 10
 DIMS = 64
+#: Candidates by signs alone: recall of 10 over ids divisible by 100 is 1.0 on 2,000 vectors and 0.925 on 10,256.
+SIGN_BREADTH = 1200
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,9 +343,9 @@ def ternary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twostage.ternary_top(rows, "code", question(spark, sf_dir), 50).select("vec_id", "score")
 
 
-@query("two_stage_cosine", f"SELECT vec_id, score, dist FROM (SELECT b.vec_id, {_SIGNS} AS score, round({_DIST['cosine']}, 6) AS dist FROM embeddings b, {_Q.format(0)} ORDER BY score DESC, b.vec_id LIMIT 100) ORDER BY dist, vec_id LIMIT 10")
+@query("two_stage_cosine", f"SELECT vec_id, score, dist FROM (SELECT b.vec_id, {_SIGNS} AS score, round({_DIST['cosine']}, 6) AS dist FROM embeddings b, {_Q.format(0)} ORDER BY score DESC, b.vec_id LIMIT 1200) ORDER BY dist, vec_id LIMIT 10")
 def two_stage_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twostage.two_stage(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir), K, 100).select("vec_id", "score", "dist")
+    return twostage.two_stage(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir), K, SIGN_BREADTH).select("vec_id", "score", "dist")
 
 
 _INT8 = "list_transform(embedding, lambda x: trunc(greatest(-1::DOUBLE, least(1::DOUBLE, x::DOUBLE)) * 127)::TINYINT)"
@@ -360,9 +362,9 @@ def int8_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twostage.int8_two_stage(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir, 6), K, 40).select("vec_id", "dist")
 
 
-@query("sign_two_stage", f"SELECT vec_id, apart, dist FROM (SELECT b.vec_id, round({_DIST['cosine']}, 6) AS dist, CAST(list_sum(list_transform(list_zip(b.embedding::DOUBLE[], q::DOUBLE[]), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS apart FROM embeddings b, {_Q.format(8)} ORDER BY apart, b.vec_id LIMIT 60) ORDER BY dist, vec_id LIMIT 10")
+@query("sign_two_stage", f"SELECT vec_id, apart, dist FROM (SELECT b.vec_id, round({_DIST['cosine']}, 6) AS dist, CAST(list_sum(list_transform(list_zip(b.embedding::DOUBLE[], q::DOUBLE[]), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS apart FROM embeddings b, {_Q.format(8)} ORDER BY apart, b.vec_id LIMIT 1200) ORDER BY dist, vec_id LIMIT 10")
 def sign_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twostage.sign_two_stage(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir, 8), K, 60).select("vec_id", "apart", "dist")
+    return twostage.sign_two_stage(embeddings(spark, sf_dir), "embedding", question(spark, sf_dir, 8), K, SIGN_BREADTH).select("vec_id", "apart", "dist")
 
 
 @query("pq_two_stage", _sql("cosine", key=6, columns="b.vec_id"))
