@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +33,16 @@ _SCORE = """CASE lower(metric) WHEN 'l2' THEN array_distance(a, b) WHEN 'l2sq' T
   WHEN 'ip' THEN array_inner_product(a, b) ELSE raise_error(concat('Unknown metric ', metric)) END"""
 
 
-def register(spark: SparkSession) -> None:
-    """Creates the session's functions; safe to call again."""
+def register(spark: SparkSession, views: Sequence[str] = (), indexes: Mapping[str, str] | None = None) -> None:
+    """Creates the session's functions, table functions of some views, and names for indexes (name -> path); safe to call again."""
     for name, body in SCALARS.items():
         kind = "BIGINT" if name == "array_ternary_dot" else "DOUBLE"
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS {kind} RETURN {body}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vector_score(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>, metric STRING) RETURNS DOUBLE RETURN {_SCORE}")
+    for view in views:
+        register_table(spark, view)
+    for name, path in (indexes or {}).items():
+        register_index(spark, name, path)
 
 
 def register_table(spark: SparkSession, view: str, id_col: str = "vec_id", col: str = "embedding") -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Metric
 from ..functions import codes, distance as D
-from ..functions.sql import register, register_index, register_table
+from ..functions.sql import register
 from ..functions.sql import run as run_sql
 from ..operators import aggregates, fusion, joins, knn, twostage
 from ..operators.blocks import many_nearest
@@ -427,9 +427,8 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sql_table_function", f"SELECT vec_id AS id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS row_number FROM (SELECT b.vec_id, round(array_cosine_similarity(b.embedding::DOUBLE[64], q), 6) AS score FROM embeddings b, {_Q.format(0)}) QUALIFY row_number <= 10")
 def sql_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark)
     embeddings(spark, sf_dir).createOrReplaceTempView("nf_embeddings")
-    register_table(spark, "nf_embeddings")
+    register(spark, ["nf_embeddings"])
     literal = ", ".join(repr(x) + "D" for x in question(spark, sf_dir))
     found = spark.sql(f"SELECT * FROM knn_nf_embeddings(array({literal}), 10, 'cosine')")
     return found.withColumn("row_number", F.col("row_number").cast("long"))
@@ -528,7 +527,7 @@ def index_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index searched from a SQL statement, with a subquery as its question."""
     index = _index(spark, sf_dir)
-    register_index(spark, "vectors", index.store.path)
+    register(spark, indexes={"vectors": index.store.path})
     embeddings(spark, sf_dir).createOrReplaceTempView("nf_embeddings")
     return run_sql(spark, "SELECT t.vec_id, t.dist, b.label FROM vector_top_k('vectors', (SELECT embedding FROM nf_embeddings WHERE vec_id = 9), 10) t JOIN nf_embeddings b USING (vec_id)")
 

@@ -223,7 +223,8 @@ def test_join_by_the_index_and_from_sql(spark, sf, index):
     got, want = index.join(outer, base, "query", 3, ef=200), joins.index_join(outer, base, "query", "embedding", 3, "cosine")
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    sql.register_index(spark, "v", index.store.path)
+    sql.register(spark, indexes={"v": index.store.path})
+    assert spark.sql("SELECT count FROM index_info_v").first()["count"] == spark.sql("SELECT count(*) AS n FROM index_rows_v").first()["n"] == 200
     base.createOrReplaceTempView("vectors")
     found = sql.run(spark, "SELECT t.id, b.label, t.row_number FROM (SELECT vec_id AS id, row_number FROM vector_top_k('v', (SELECT embedding FROM vectors WHERE vec_id = 7), 4, 200)) t JOIN vectors b ON b.vec_id = t.id ORDER BY t.row_number").collect()
     q = [float(x) for x in base.where("vec_id = 7").first()["embedding"]]
