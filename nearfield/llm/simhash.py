@@ -324,7 +324,7 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             table = pa.Table.from_batches(held)
             both = pa.chunked_array(table.column("a").chunks + table.column("b").chunks).combine_chunks()
-            names, place = np.unique(np.array(both.to_pylist()), return_inverse=True)
+            names, place = np.unique(both.to_numpy(zero_copy_only=False), return_inverse=True)
             parent, n = np.arange(len(names)), table.num_rows
             _hook(parent, place[:n], place[n:])
             child = np.flatnonzero(parent != np.arange(len(names)))
