@@ -224,5 +224,6 @@ def take(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     number, copies, again, to = free_names(df, 4)
     rows = stored(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
     taken = mix(rows, key, text, source, row=number, **how).where("copies > 0").select(F.col(number).alias(to), F.col("copies").alias(copies))
-    out = rows.join(taken, rows[number] == taken[to]).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    # numbers are all different, so the join is even; only the short side is held in memory, and texts are not sorted
+    out = rows.join(taken.hint("shuffle_hash"), rows[number] == taken[to]).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return out.select(*(F.col(f"`{c}`") for c in df.columns))
