@@ -46,7 +46,7 @@ class IndexConfig:
     dimensions: int = 0
     element_type: str = ""
     shard_rows: int = 20_000
-    probes: int = 8
+    probes: int = 0  # 0: as many as the sample of the build needs
     build: str = "batch"
 
     def __post_init__(self) -> None:
@@ -55,7 +55,7 @@ class IndexConfig:
             value = getattr(self, name)
             if isinstance(value, bool) or not isinstance(value, int):
                 raise ValueError(f"{name} must be an integer")
-            if value <= 0:
+            if value < (name != "probes"):
                 raise ValueError(f"{name} must be greater than 0")
         if self.alpha < 1:
             raise ValueError("alpha must be at least 1")

@@ -3,8 +3,9 @@
 A bounded sample of the rows gives centroids; every row goes to the cell of its
 nearest one, and a cell is one shard or, if it is large, several by a hash of
 the id. A shard is one graph, packed into one row of a table that has a folder
-for each cell. A query asks the shards of its nearest cells alone: their rows
-are read, each by itself, and nothing of the index is shuffled. Inserts and
+for each cell. A query asks the shards of its nearest cells alone, as many as
+held nearly all near rows of the sample: their rows are read, each by itself,
+and nothing of the index is shuffled. Inserts and
 deletes append small tables; compaction writes new shards for the cells they
 touch. Each change is a new numbered state of the index, put in place only if
 no other writer took that number; older states can be opened until a vacuum.
@@ -39,6 +40,8 @@ TOMBSTONE = "node_id long, version long"
 EF_SEARCH = "nearfield.efSearch"
 #: Most cells; centroids are fitted on at most SAMPLE rows for each cell. A shard's graph has at most SHARD_BYTES.
 MOST_CELLS, SAMPLE, ROUNDS = 4096, 64, 8
+#: Share of a row's near rows that the cells asked by default hold.
+COVERED = 0.97
 SHARD_BYTES = 64 << 20
 #: Most ids (allowed, or changed since the last compaction) that go to all executors; with more the search is exact.
 MOST_IDS = 1 << 22
@@ -88,11 +91,34 @@ def centroids_of(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     return centroids
 
 
-def fitted_cells(rows: DataFrame, cells: int, config: IndexConfig) -> np.ndarray:
-    """Centroids from the SAMPLE * cells rows whose ids' hashes are smallest."""
+def probes_for(x: np.ndarray, centroids: np.ndarray, asked: int = 256, k: int = 10, share: float = COVERED) -> int:
+    """How many cells, nearest first, hold the given share of the k nearest sample rows of evenly spread sample rows.
+
+    The sample is thinner than the table, so its near rows lie further off and
+    take rather more cells than the table's.
+    """
+    cells = len(centroids)
+    own = np.concatenate([nearest_cells(x[a : a + 8192], centroids)[:, 0] for a in range(0, len(x), 8192)])
+    k = min(k, len(x) - 1)
+    if cells < 2 or k < 1:
+        return 1
+    square = (x**2).sum(1)
+    ranks = []
+    for i in np.unique(np.linspace(0, len(x) - 1, asked).astype(int)).tolist():
+        d = square - 2 * (x @ x[i])
+        d[i] = np.inf
+        place = np.empty(cells, np.int64)
+        place[nearest_cells(x[i : i + 1], centroids, cells)[0]] = np.arange(cells)
+        ranks.append(place[own[np.argpartition(d, k - 1)[:k]]])
+    return int(np.quantile(np.concatenate(ranks), share, method="higher")) + 1
+
+
+def fitted_cells(rows: DataFrame, cells: int, config: IndexConfig) -> tuple[np.ndarray, int]:
+    """Centroids from the SAMPLE * cells rows whose ids' hashes are smallest, and how many of them a query needs."""
     chosen = rows.orderBy(F.xxhash64("node_id"), "node_id").limit(SAMPLE * cells).toArrow()
     x = directed(matrix(chosen.column("vector")), config)
-    return centroids_of(x, min(cells, len(x)))
+    centroids = centroids_of(x, min(cells, len(x)))
+    return centroids, probes_for(x, centroids)
 
 
 # --- shards as rows
@@ -186,11 +212,11 @@ class VectorIndex:
         """Writes all shards of rows with new centroids; what the state then says of them."""
         wanted = min(MOST_CELLS, max(1, -(-count // cls._shard_rows(config))))
         spark = rows.sparkSession
-        centroids = fitted_cells(rows, wanted, config) if count else np.zeros((1, 1))
+        centroids, probes = fitted_cells(rows, wanted, config) if count else (np.zeros((1, 1)), 1)
         tag = uuid.uuid4().hex
         store.write(f"centroids-{tag}", spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>"))
         pieces = cls._write_shards(store, f"nodes-{tag}", cls._dealt(rows, centroids, config), config, 0)
-        meta = {"config": config.to_dict(), "centroids": f"centroids-{tag}", "cells": len(centroids), "nodes": [f"nodes-{tag}"], "pieces": pieces}
+        meta = {"config": config.to_dict(), "centroids": f"centroids-{tag}", "cells": len(centroids), "probes": probes, "nodes": [f"nodes-{tag}"], "pieces": pieces}
         return meta | {"parts": dict.fromkeys(pieces, f"nodes-{tag}"), "shards": sum(pieces.values()), "numbered": sum(pieces.values())}
 
     @staticmethod
@@ -431,7 +457,7 @@ class VectorIndex:
         check_k(k)
         config, meta = self.config, self.meta
         breadth = ef or int(self.spark.conf.get(EF_SEARCH, "0")) or config.l_search
-        probes = probes or config.probes
+        probes = probes or config.probes or meta["probes"]
         if breadth < 1 or probes < 1:
             raise ValueError("ef and probes must be at least 1")
         queries = queries.select(F.col("query_id"), F.col("query").cast("array<double>").alias("query")).where("query is not null")

@@ -217,6 +217,20 @@ def test_a_search_reads_its_cells_alone(spark, sf, tmp_path):
     assert 0 < len({(r["query_id"], r["vec_id"]) for r in few} & want) <= len(got & want)
 
 
+@pytest.mark.parametrize("tight", [True, False])
+def test_probes_follow_the_data(spark, tmp_path, tight):
+    """Clustered vectors need few cells, evenly spread ones many; recall holds for both."""
+    rng = np.random.default_rng(9)
+    x = clustered(2000, 32, 4) if tight else rng.normal(size=(2000, 32))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = VectorIndex.create(base, "embedding", f"file://{tmp_path}/p", options={"METRIC": "cosine", "R": 16, "L_INSERT": 40, "SHARD_ROWS": 100})
+    asked = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {(r["query_id"], r["vec_id"]) for r in index.search_many(asked, 10).collect()}
+    want = {(r["query_id"], r["vec_id"]) for r in truth_of(spark, base, asked, 10).collect()}
+    assert len(got & want) / len(want) >= 0.9
+    assert index.meta["probes"] < index.meta["cells"] == 20 and (index.meta["probes"] <= 8) == tight
+
+
 def test_join_by_the_index_and_from_sql(spark, sf, index):
     base = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 200")
     outer = base.where("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "label")
