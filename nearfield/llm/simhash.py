@@ -36,7 +36,7 @@ TILE = 1024
 #: Fingerprints that a block key should have on average, at most; most blocks beyond the radius.
 GROUP, MOST_MORE = 64, 4
 FOREST_LINKS = 1 << 18
-#: Links of one node that go to one task, at least; with more links in all, so many that at most MOST_HUBS nodes have more.
+#: Links of one node that may meet in one task; with more links in all, so many that at most MOST_HUBS nodes have more.
 HUB, MOST_HUBS = 256, 20_000
 #: Most rows that are sent to all executors to find the documents that go or are compared; more are joined as Spark chooses.
 MOST_SENT = 1 << 18
@@ -343,16 +343,14 @@ def _forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_least(edges: DataFrame, by: str, of: str, count: int) -> DataFrame:
     """edges, each with m: the least `of` of all edges with the same `by`.
 
-    The edges of a node with many are dealt to several tasks, and its least
-    goes to each of them.
+    Nodes with many edges are few; their least goes to all executors, so their
+    edges stay where they are and no task takes all edges of one.
     """
     least = edges.groupBy(by).agg(F.min(of).alias("m"), F.count("*").alias("n"))
-    limit = max(HUB, -(-count // MOST_HUBS))
-    least = least.withColumn("pieces", F.ceil(F.col("n") / limit).cast("int"))
-    hubs = least.where("pieces > 1").select(by, "pieces")  # at most MOST_HUBS
-    salted = edges.join(F.broadcast(hubs), by, "left").withColumn("salt", F.pmod(F.xxhash64(of), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
-    spread = least.select(by, "m", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"))
-    return salted.join(spread, [by, "salt"]).drop("salt")
+    hubs = least.where(F.col("n") > max(HUB, -(-count // MOST_HUBS))).select(by, "m")  # at most MOST_HUBS
+    told = edges.join(F.broadcast(hubs), by, "left")
+    rest = told.where("m is null").drop("m").join(least.select(by, "m"), by)
+    return told.where("m is not null").unionByName(rest)
 
 
 def components(links: DataFrame) -> DataFrame:
