@@ -374,8 +374,9 @@ def components(links: DataFrame) -> DataFrame:
         large = _with_least(both, "a", "b", 2 * now[0]).where(F.col("b") > F.col("a")).select(F.least("a", "m").alias("a"), "b").distinct()
         # small star: each b's smaller neighbours, and b itself, go to the least of them
         large = stored(large, "large")
-        small = _with_least(large, "b", "a", now[0])
-        edges = stored(small.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct(), "links")
+        least = large.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        small = _with_least(large, "b", "a", now[0]).where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
+        edges = stored(small.unionByName(least).distinct(), "links")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
 
 
