@@ -10,7 +10,7 @@ from nearfield.config import IndexConfig
 from nearfield.plans import index, queries
 from nearfield.plans.graph import Graph
 
-NAMES = ["index_build_doubling", "index_build_serial", "index_edges_1bit"]
+NAMES = ["index_build_doubling", "index_build_serial", "index_edges_1bit", "index_edges_float16"]
 
 
 @pytest.fixture(scope="module")
