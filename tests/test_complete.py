@@ -10,7 +10,7 @@ from nearfield.config import IndexConfig
 from nearfield.plans import index, queries
 from nearfield.plans.graph import Graph
 
-NAMES = ["index_build_doubling", "index_build_serial", "index_edges_1bit", "index_edges_float16", "index_edges_int8", "index_edges_ternary", "index_joined", "index_nearest", "index_search_filtered", "index_search_many"]
+NAMES = ["index_build_doubling", "index_build_serial", "index_edges_1bit", "index_edges_float16", "index_edges_int8", "index_edges_ternary", "index_joined", "index_nearest", "index_search_filtered", "index_search_many", "index_search_shards"]
 
 
 @pytest.fixture(scope="module")
