@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_frame, map_batches, text_list
+from .common import key_frame, map_batches, stored, text_list
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -22,8 +22,11 @@ WINDOW = 5
 BAD_SHARE = 0.01
 #: Kolmogorov-Smirnov coefficient of the 0.1 % level: statistics that differ by less do not tell good from bad.
 CRITICAL = 1.95
-#: Of so many labelled rows, in order of their keys' hashes, one calibrates the threshold and the others grow the forest.
+#: Of so many labelled rows, by their keys' hashes, one calibrates the threshold and the others grow the forest.
 FOLDS = 3
+#: Good rows that the trees draw from: as many as all trees draw together. Leading bits of a feature, and bins of scores, by which all labelled rows are counted.
+POOL, BIN_BITS, SCORE_BINS = 25_600, 20, 1 << 16
+FEATURES = tuple(f"f{i}" for i in range(6))
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_capitals")
 MARKS, CAPITALS = b"!?.,;:|-\"'()", bytes(range(65, 91))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -80,12 +83,6 @@ def features(stats: np.ndarray) -> np.ndarray:
     return np.stack([s[:, 1] / words, np.log1p(100 * s[:, 2] / chars), np.log1p(100 * s[:, 3] / words), s[:, 4] / words, np.log1p(20 * s[:, 5] / chars), np.log1p(20 * s[:, 6] / chars)], 1)
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Largest gap between two samples' distribution functions."""
-    both = np.sort(np.concatenate((a, b)))
-    return float(np.abs(np.searchsorted(np.sort(a), both, "right") / len(a) - np.searchsorted(np.sort(b), both, "right") / len(b)).max())
-
-
 @dataclass
 class IsolationForest:
     """Trees as flat arrays: split feature (-1: leaf), split value, left child (right is next), and depth plus expected rest at leaves."""
@@ -151,23 +148,23 @@ class IsolationForest:
             total += depth[at]
         return 2 ** (-total / len(self.feature) / max(float(self.rest(self.size)), 1e-9))
 
-    def calibrate(self, x: np.ndarray, good: np.ndarray, cost: float = 50.0) -> tuple[IsolationForest, float]:
-        """Sets the threshold with the best share of bad rows rejected, less `cost` times the share of good ones; also returns that.
+    def calibrate(self, low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray, cost: float = 50.0) -> float:
+        """Sets the threshold with the best share of bad rows rejected, less `cost` times the share of good ones, and returns that.
 
-        It lies half way between two scores. If no threshold is worth its cost,
-        nothing is rejected.
+        Given are bins of scores in ascending order: their least and greatest
+        score and how many good and bad rows they hold. The threshold lies half
+        way between two scores. If none is worth its cost, or all rows are of
+        one class, nothing is rejected.
         """
-        score = self.score(x)
-        edges = np.unique(score)
-        lost = 1 - np.searchsorted(np.sort(score[good]), edges, "right") / max(1, good.sum())
-        caught = 1 - np.searchsorted(np.sort(score[~good]), edges, "right") / max(1, (~good).sum())
-        worth = caught - cost * lost
-        best = int(len(edges) - 1 - worth[::-1].argmax()) if len(edges) else 0
-        if not len(edges) or worth[best] <= 0:
-            self.threshold = 1.0
-            return self, 0.0
-        self.threshold = float(edges[best : best + 2].mean())
-        return self, float(worth[best])
+        self.threshold = 1.0
+        if not good.sum() or not bad.sum():
+            return 0.0
+        worth = 1 - np.cumsum(bad) / bad.sum() - cost * (1 - np.cumsum(good) / good.sum())
+        best = int(len(worth) - 1 - worth[::-1].argmax())
+        if worth[best] <= 0:
+            return 0.0
+        self.threshold = float((high[best] + low[best + 1]) / 2)  # the last bin rejects nothing, so it is never best here
+        return float(worth[best])
 
 
 def labelled_rows(df: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
@@ -181,49 +178,101 @@ def labelled_rows(df: DataFrame, labels: DataFrame, label: str, most: int, key:
     return docs.join(F.broadcast(marks), "k").select(F.xxhash64("k").alias("place"), "text", F.col("mark").cast("int").alias("mark"))
 
 
-def labelled_stats(df: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", keep=None) -> tuple[np.ndarray, np.ndarray]:
-    """STATS rows and marks of at most `most` labelled documents in order of their keys' hashes; only these numbers come to the driver."""
-    found = labelled_rows(df, labels, label, most, key, text, keep)
+def labelled_features(df: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+    """place, good and the features f0, f1, ... of every labelled document that passes the hard limits; texts are not shuffled."""
+    marks = key_frame(labels, key, label).toDF("k", "mark").where("mark is not null and k is not null")
+    if keep is not None:
+        marks = marks.where(keep("k"))
+    marks = marks.groupBy("k").agg(F.max("mark").alias("mark"))  # one mark a document
+    docs = key_frame(df, key, text).toDF("k", "text").where("text is not null and k is not null")
+    kind = docs.schema["k"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         stats = np.array([text_stats(t) for t in text_list(batch.column(1))], np.int64).reshape(-1, len(STATS))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(stats[:, i]) for i in range(len(STATS)))], ["place", "mark", *STATS])
+        able = np.flatnonzero(~base_failures(stats))
+        x = features(stats[able])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(able)), *(pa.array(c) for c in x.T)], ["k", *FEATURES])
+
+    known = map_batches(docs, f"k {kind}, " + ", ".join(f"{c} double" for c in FEATURES), run)
+    return known.join(marks, "k").select(F.xxhash64("k").alias("place"), (F.col("mark") == 1).alias("good"), *FEATURES)
+
 
-    table = map_batches(found, "place long, mark int, " + ", ".join(f"{c} long" for c in STATS), run)
-    table = table.orderBy("place", *STATS, "mark").limit(most).toArrow()
-    return np.stack([table.column(c).to_numpy() for c in STATS], 1), table.column("mark").to_numpy()
+def _grown(marked: bool) -> Column:
+    """Labelled rows that grow the forest, of one mark; the others calibrate it."""
+    return (F.pmod("place", F.lit(FOLDS)) != FOLDS - 1) & (F.col("good") == marked)
 
 
-def fit_forest(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most_labelled: int = 4000, cost: float = 50.0, keep=None) -> IsolationForest:
-    """The forest of at most most_labelled labelled documents (labelled_forest). keep: a condition on keys whose labels are read."""
-    return labelled_forest(*labelled_stats(df, labels, label, most_labelled, key, text, keep), cost)
+def apart(rows: DataFrame) -> list[float]:
+    """Largest gap between the distribution functions of good and bad rows in each feature, over all growing rows, counted by the leading BIN_BITS bits of its floats."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.stack([c.to_numpy() for c in batch.columns[1:]], 1).astype(np.float32)
+        bins = np.ascontiguousarray(x).view(np.uint32) >> np.uint32(32 - BIN_BITS)  # features are not negative, so their bits are in order
+        good = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), x.shape[1])
+        column = np.tile(np.arange(x.shape[1], dtype=np.int32), len(x))
+        return pa.RecordBatch.from_arrays([pa.array(column), pa.array(bins.ravel().astype(np.int32)), pa.array(good)], ["f", "bin", "good"])
 
+    binned = map_batches(rows.where(_grown(True) | _grown(False)).select("good", *FEATURES), "f int, bin int, good boolean", run)
+    found = binned.groupBy("f", "bin").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("f", "bin").toArrow()
+    f, good, bad = (found.column(c).to_numpy() for c in ("f", "good", "bad"))
+    out = []
+    for j in range(len(FEATURES)):
+        n, m = (np.cumsum(c[f == j]) for c in (good, bad))
+        out.append(float(np.abs(n / n[-1] - m / m[-1]).max()))
+    return out
 
-def labelled_forest(stats: np.ndarray, marks: np.ndarray, cost: float = 50.0) -> IsolationForest:
-    """Grows forests on all of these rows but one in FOLDS, on which it chooses among them and calibrates the threshold.
+
+def scored(rows: DataFrame, forests: list[IsolationForest]) -> list[np.ndarray]:
+    """For each forest, of all calibrating rows by their scores' SCORE_BINS: least and greatest score, good rows, bad rows."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.stack([c.to_numpy() for c in batch.columns[1:]], 1)
+        score = np.concatenate([forest.score(x) for forest in forests])
+        which = np.repeat(np.arange(len(forests), dtype=np.int32), len(x))
+        good = np.tile(batch.column(0).to_numpy(zero_copy_only=False), len(forests))
+        return pa.RecordBatch.from_arrays([pa.array(which), pa.array((score * SCORE_BINS).astype(np.int32)), pa.array(score), pa.array(good)], ["which", "bin", "score", "good"])
+
+    spare = rows.where(F.pmod("place", F.lit(FOLDS)) == FOLDS - 1).select("good", *FEATURES)
+    binned = map_batches(spare, "which int, bin int, score double, good boolean", run).groupBy("which", "bin")
+    found = binned.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).orderBy("which", "bin").toArrow()
+    which = found.column("which").to_numpy()
+    table = np.stack([found.column(c).to_numpy().astype(np.float64) for c in ("low", "high", "good", "bad")], 1)
+    return [table[which == i] for i in range(len(forests))]
+
+
+def fit_forest(df: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", cost: float = 50.0, keep=None) -> IsolationForest:
+    """Grows forests on all labelled rows but one in FOLDS, on which it chooses among them and calibrates the threshold.
 
     Rows that fail the hard limits are left out of both: they are rejected
     anyway. A forest sees good rows with a share BAD_SHARE of bad ones, so that
-    bad rows are rare there as anomalies must be. Statistics in which good and
-    bad rows differ (Kolmogorov-Smirnov, CRITICAL) are taken in order of that
-    difference: the first alone, the first two, and so on; of these forests the
-    one whose threshold is worth most stays, and of equal ones that with fewest
-    statistics. With labels of one class nothing is an anomaly.
+    bad rows are rare there as anomalies must be; its trees draw a few hundred
+    rows each, as the method has it, from up to POOL good rows, as many as all
+    trees draw together. Statistics in which good and bad rows differ
+    (Kolmogorov-Smirnov, CRITICAL) are taken in order of that difference: the
+    first alone, the first two, and so on; of these forests the one whose
+    threshold is worth most stays, and of equal ones that with fewest
+    statistics. All counts, the differences and the threshold are of every
+    labelled row. With labels of one class nothing is an anomaly. keep: a
+    condition on keys whose labels are read.
     """
-    able = ~base_failures(stats)
-    x, good = features(stats[able]), marks[able] == 1
-    spare = np.arange(len(x)) % FOLDS == FOLDS - 1  # rows are in order of hashes
-    grown, marked = x[~spare], good[~spare]
-    n, m = int(marked.sum()), int((~marked).sum())
-    best, worth = IsolationForest.fit(np.zeros((2, x.shape[1])), trees=1), 0.0
-    if not n or not m or not good[spare].any() or good[spare].all():
+    rows = stored(labelled_features(df, labels, label, key, text, keep), "labelled")
+    n, m = rows.agg(F.count_if(_grown(True)), F.count_if(_grown(False))).first()
+    best, worth = IsolationForest.fit(np.zeros((2, len(FEATURES))), trees=1), 0.0
+    if not n or not m:
+        return best
+
+    def first(marked: bool, most: int) -> np.ndarray:
+        found = rows.where(_grown(marked)).orderBy("place", *FEATURES).limit(most).toArrow()
+        return np.stack([found.column(c).to_numpy() for c in FEATURES], 1)
+
+    far = apart(rows)
+    columns = [j for j in np.argsort(far)[::-1].tolist() if far[j] >= CRITICAL * ((n + m) / (n * m)) ** 0.5]
+    if not columns:
         return best
-    apart = [distance(grown[marked, j], grown[~marked, j]) for j in range(x.shape[1])]
-    columns = [j for j in np.argsort(apart)[::-1].tolist() if apart[j] >= CRITICAL * ((n + m) / (n * m)) ** 0.5]
-    bad = np.flatnonzero(~marked)[: max(1, int(BAD_SHARE * n))]
-    rows = grown[np.concatenate((np.flatnonzero(marked), bad))]
-    for j in range(len(columns)):
-        forest, own = IsolationForest.fit(rows, columns=tuple(columns[: j + 1])).calibrate(x[spare], good[spare], cost)
+    grown = np.concatenate((first(True, POOL), first(False, max(1, int(BAD_SHARE * min(n, POOL))))))
+    forests = [IsolationForest.fit(grown, columns=tuple(columns[: j + 1])) for j in range(len(columns))]
+    for forest, counts in zip(forests, scored(rows, forests)):
+        own = forest.calibrate(*counts.T, cost)
         if own > worth:
             best, worth = forest, own
     return best
