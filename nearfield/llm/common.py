@@ -38,6 +38,8 @@ _give_back()
 
 #: Characters of text that one vectorised pass holds at a time.
 SLICE_CHARS = 1 << 20
+#: Bytes of a row group of intermediate tables: a task that reads or writes one holds a row group's texts in the heap.
+ROW_GROUP_BYTES = 8 << 20
 
 
 def model_path(model: str) -> str:
@@ -70,9 +72,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and runs each Python stage once."""
+    """Writes df to the shared folder, in small row groups, and reads it back, which cuts the lineage and runs each Python stage once."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

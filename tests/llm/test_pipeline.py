@@ -1,8 +1,10 @@
 import public_tokenizers as P
+import pyarrow.dataset as ds
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from nearfield.llm import rules
+from nearfield.llm import common, rules
 
 
 def test_stages(spark, sf, documents, odd):
@@ -39,3 +41,12 @@ def test_rules_stage_sees_labels_of_rows_rejected_before(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.within_rules(spark, left, sf).collect()}
     assert kept == {i for i in ids if verdicts[i]["kept"]}
     assert any(not verdicts[i]["base_failed"] for i in ids - kept)
+
+
+def test_stages_are_written_in_small_row_groups(spark):
+    """40 MB of text in one file: a reader of one row group holds a bounded part of it, and no row is lost."""
+    docs = spark.range(0, 20_000, 1, 1).select("id", F.concat(*(F.sha2((F.col("id") * 32 + i).cast("string"), 256) for i in range(32))).alias("text"))
+    out = corpus_pipeline.stored(docs, "test")
+    groups = [g.total_byte_size for f in ds.dataset([x.removeprefix("file://") for x in out.inputFiles()]).get_fragments() for g in f.row_groups]
+    assert sum(groups) > 30_000_000 and max(groups) <= 1.5 * common.ROW_GROUP_BYTES
+    assert out.count() == 20_000 and out.select("text").distinct().count() == 20_000
