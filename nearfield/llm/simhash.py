@@ -205,7 +205,7 @@ def tile_links(fps: np.ndarray, radius: int, side: np.ndarray | None = None, ste
             other = i != j
             if other.any():
                 _hook(parent, i[other], j[other])
-    least = np.arange(n)
+    least = np.full(n, n)  # parent has places in that order, not rows
     np.minimum.at(least, parent, order)  # name each tree by its least row
     out = np.empty(n, np.int64)
     out[order] = least[parent]

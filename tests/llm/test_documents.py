@@ -222,6 +222,13 @@ def test_tiles_skip_nothing():
     assert simhash.tile_links(x, 24, step=16).tolist() == plain_groups([int(v) for v in x[:, 0]], 24)
 
 
+def test_a_tile_names_trees_by_their_own_rows():
+    """The two lightest of 40 rows link to each other alone, though they come first in the order by bits."""
+    x = np.random.default_rng(4).integers(0, 2**63, 40).astype(np.uint64)
+    x[30], x[31] = 0, 1
+    assert simhash.tile_links(x[:, None], 4).tolist() == plain_groups([int(v) for v in x], 4)
+
+
 def test_components_of_chains(spark):
     chain = [(i, i + 1) for i in range(300)] + [(500, 499), (7, 7), (1000, 900)]
     got = {r["id"]: r["component"] for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
