@@ -11,6 +11,8 @@ from nearfield.plans import index, queries
 from nearfield.plans.graph import Graph
 
 NAMES = ["index_build_doubling", "index_build_serial", "index_edges_1bit", "index_edges_float16", "index_edges_int8", "index_edges_ternary", "index_joined", "index_nearest", "index_search_filtered", "index_search_many", "index_search_shards"]
+#: Those that are held against their SQL over several cells too.
+IN_CELLS = ["index_build_serial"]
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +74,13 @@ def test_a_walk_is_completed(options):
 def test_true_neighbours(spark, near_ties, monkeypatch, name):
     monkeypatch.setattr(index, "plan_search", lambda *_: "graph")
     assert same_as_sql(spark, near_ties, name)
+
+
+@pytest.mark.parametrize("name", IN_CELLS)
+def test_true_neighbours_in_cells(spark, near_ties, monkeypatch, name):
+    """The same with eight cells, as large tables have several."""
+    whole = queries._index
+    made = []
+    monkeypatch.setattr(queries, "_index", lambda *args, **options: made.append(whole(*args, SHARD_ROWS=50, **options)) or made[-1])
+    assert same_as_sql(spark, near_ties, name)
+    assert made[0].meta["cells"] == 8
