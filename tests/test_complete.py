@@ -12,7 +12,7 @@ from nearfield.plans.graph import Graph
 
 NAMES = ["index_build_doubling", "index_build_serial", "index_edges_1bit", "index_edges_float16", "index_edges_int8", "index_edges_ternary", "index_joined", "index_nearest", "index_search_filtered", "index_search_many", "index_search_shards"]
 #: Those that are held against their SQL over several cells too.
-IN_CELLS = ["index_build_serial", "index_edges_float16", "index_edges_int8"]
+IN_CELLS = ["index_build_serial", "index_edges_float16", "index_edges_int8", "index_edges_ternary"]
 
 
 @pytest.fixture(scope="module")
